@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .importance import op9_importance_resampling
+from .line_dedup import op7_line_dedup
 from .ngram_join import op3_ngram_jaccard_join
+from .packing import op5_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_importance_resampling": op9_importance_resampling,
 }
 
 #: DuckDB SQL of the same rows, where SQL can express them.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mix_sources": mixing.ORACLE,
+}
