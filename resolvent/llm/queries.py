@@ -11,10 +11,14 @@ from .importance import op9_importance_resampling
 from .line_dedup import op7_line_dedup
 from .ngram_join import op3_ngram_jaccard_join
 from .packing import op5_best_fit_packing
+from .secrets import op2_secret_scan
+from .url_filter import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_url_filter": op4_url_filter,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_line_dedup": op7_line_dedup,
