@@ -108,26 +108,30 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs.join(quality_weights(spark, sf_dir), "doc_id", "left"), weight_col="weight").select("doc_id", "size", "source_size", "target", "taken")
+def quality_weight(text_col: str) -> Column:
+    """A document's quality weight: 0.5 for fewer than 50 words or over one stray symbol per 20 words, else 2."""
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    words, symbols = n_words(text_col), F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))
+    return F.when((words < 50) | (20 * symbols > words), 0.5).otherwise(2.0)
 
 
-def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, weight): 2 for labelled good text, 0.5 for labelled bad text."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null and quality is not null")
-    return labels.groupBy("doc_id").agg(F.when(F.min("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    mixed = mix_sources(docs.withColumn("weight", quality_weight("text")), weight_col="weight")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: The result of op6 in DuckDB SQL.
 ORACLE = """
-with lab as (
-  select doc_id, case when min(quality) = 1 then 2.0::double else 0.5::double end as weight
-  from labels where doc_id is not null and quality is not null group by doc_id
-), d as (
+with m as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double) / coalesce(weight, 1.0::double) as k
-  from documents left join lab using (doc_id)
+         length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) as symbols
+  from documents
+), d as (
+  select doc_id, source, size,
+         -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double)
+           / case when size < 50 or 20 * symbols > size then 0.5::double else 2.0::double end as k
+  from m
 ), s as (
   select source, sum(size)::bigint as source_size from d group by source
 ), w as (
