@@ -9,7 +9,7 @@ vertex with many links costs no task more than its share.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +42,10 @@ def _local_forest(batches):
         rows = [(root(v), v) for v in list(parent)]
         parent.clear()
         rows = [(a, b) for a, b in rows if a != b]
-        return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    for pdf in batches:
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = root(a), root(b)
             parent.setdefault(a, a)
             parent.setdefault(b, b)
@@ -53,7 +53,7 @@ def _local_forest(batches):
                 lo, hi = (x, y) if x < y else (y, x)
                 parent[hi] = lo
                 parent.setdefault(lo, lo)
-        if len(parent) > 1_000_000:  # bounded memory: later rounds join what this splits
+        if len(parent) > 200_000:  # bounded memory: later rounds join what this splits
             yield flush()
     yield flush()
 
@@ -70,7 +70,7 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None =
     edges = links.select(_scramble(F.col("a")).alias("a"), _scramble(F.col("b")).alias("b"))
     vertices = links.select("a").union(links.select("b")).distinct().select(F.col("a").alias("id"), _scramble(F.col("a")).alias("v"))
     vertices = scratch.cut(vertices, "vertices")
-    edges = scratch.cut(edges.where("a <> b").mapInPandas(_local_forest, "a long, b long").distinct(), "edges")
+    edges = scratch.cut(edges.where("a <> b").mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
     labels: DataFrame | None = None  # v, r: the vertex v was contracted into r
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -81,7 +81,7 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None =
         to = hop.select("v", "r")
         moved = edges.join(to.toDF("a", "ra"), "a").join(to.toDF("b", "rb"), "b").where("ra <> rb")
         moved = moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        after = scratch.cut(moved.mapInPandas(_local_forest, "a long, b long").distinct(), "edges")
+        after = scratch.cut(moved.mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
         if labels is None:
             labels_after = hop
         else:

@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch between the JVM and Python.
+BATCH_ROWS = 1000
 _own: dict[str, str] = {}
 
 
@@ -43,8 +45,14 @@ class Scratch:
         return f"{self.root}/{self.n:03d}-{name}"
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
-        to = self.path(name)
-        df.write.parquet(to)
+        """``df`` written and read again; meanwhile Arrow batches hold few rows, since rows may hold long texts."""
+        to, key = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(BATCH_ROWS))
+        try:
+            df.write.parquet(to)
+        finally:
+            self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(to)
         self.paths[id(out)] = to
         return out

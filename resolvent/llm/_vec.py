@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 
 
@@ -42,18 +42,16 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(19, int(n).bit_length())
     if size not in _powers:
         if len(_powers) > 1:
             _powers.pop(max(_powers))
         out = []
         for base in (_BASE, _BASE_INV):
             p = np.ones(size, np.uint64)
-            step, have = np.uint64(base), 1
-            p[1:2] = step
-            have = 2
+            have = 1
             while have < size:
-                p[have : 2 * have] = p[:have] * (p[have - 1] * step)
+                p[have : 2 * have] = p[:have] * np.uint64(pow(base, have, 1 << 64))
                 have *= 2
             out.append(p)
         _powers[size] = tuple(out)

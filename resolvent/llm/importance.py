@@ -134,7 +134,7 @@ def _cut(score: np.ndarray, good: np.ndarray) -> float:
     return float(s[i - 1] + s[i]) / 2 if i < len(s) else float(s[-1]) + 1
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "good", seed: int = 7, temperature: float = 0.25, max_labelled: int = MAX_LABELLED, log_buckets: int = LOG_BUCKETS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "good", seed: int = 7, temperature: float = 0.25, max_labelled: int = MAX_LABELLED, log_buckets: int = LOG_BUCKETS, with_text: bool = True) -> DataFrame:
     """``docs`` with ``log_weight`` (double), ``gumbel_key`` (double) and ``kept`` (boolean).
 
     ``labels`` has ``id_col`` and a boolean ``good_col``; of an id labelled both
@@ -144,7 +144,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     log_weight + temperature * Gumbel(seed, id, text); the k largest keys are
     kept, k the number of weights at or above the cut.  ``kept`` is decided by
     the k-th key itself: ties with it are all kept.  A null or empty text weighs
-    0 and is judged like any other.  With no labelled row of either class, all
+    0 and is judged like any other; ``with_text`` false leaves the text out of the result.  With no labelled row of either class, all
     are kept.  Columns of ``docs`` named like the new ones are replaced; an
     empty table gives an empty table.
     """
@@ -172,15 +172,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     who = [F.struct(F.lit(0).alias("__"), *rest).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__h")]
     keyed = docs.select(*who, F.col(text_col).cast("string").alias("__text"))
-    shape = f"__row {keyed.schema['__row'].dataType.simpleString()}, __id long, __h long, __text string, log_weight double, n_words long"
-    scored = keyed.mapInArrow(_scores(sent, log_buckets, True), shape)
+    shape = f"__row {keyed.schema['__row'].dataType.simpleString()}, __id long, __h long, {'__text string, ' if with_text else ''}log_weight double, n_words long"
+    scored = keyed.mapInArrow(_scores(sent, log_buckets, with_text), shape)
     slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     slim = slim.mapInArrow(_scores(sent, log_buckets), "__id long, __h long, log_weight double, n_words long")
     keys = scratch.cut(slim.select("log_weight", (F.col("log_weight") + temperature * gumbel).alias("key")), "keys")
     k = keys.where(F.col("log_weight") >= F.lit(cut)).count()
     floor = kth_largest(keys, "key", k)
     key = F.col("log_weight") + temperature * gumbel
-    names = [F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns]
+    names = [F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns if with_text or c != text_col]
     return scored.select(*names, "log_weight", key.alias("gumbel_key"), (key >= F.lit(floor)).alias("kept"))
 
 
@@ -220,5 +220,5 @@ def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = resample(docs, good_labels(spark, sf_dir))
+    out = resample(docs, good_labels(spark, sf_dir), with_text=False)
     return out.select("doc_id", F.round("log_weight", 6).alias("log_weight"), "kept")

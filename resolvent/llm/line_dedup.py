@@ -136,7 +136,7 @@ def _band_rows(shortest: int, k: int, bands: int, rows: int):
                 h1, _ = _identity(cp, s, e)
                 _, at = np.unique(h1, return_index=True)
                 at = at[~np.isin(h1[at], seen)]
-                if len(seen) < 1_000_000:
+                if len(seen) < 500_000:
                     seen = np.union1d(seen, h1[at])
                 if len(at):
                     key = signatures(cp, s[at], e[at], k, bands, rows)
@@ -169,7 +169,7 @@ def _texts(shortest: int, bits):
                 for i in hit.tolist():
                     h = int(h1[i])
                     if h not in seen:
-                        if len(seen) < 200_000:
+                        if len(seen) < 50_000:
                             seen.add(h)
                         ids.append(h)
                         out.append(cp[s[i] : e[i]].tobytes().decode("utf-32-le", "surrogatepass"))

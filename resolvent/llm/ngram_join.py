@@ -37,6 +37,8 @@ from ._scratch import Scratch
 FREQUENT = 1 << 16
 #: A list of more sets is contracted around one member before its pairs are made.
 LONG_LIST = 24
+#: Rows of lists that a pair of sets to be tested costs as much as.
+PAIR_COST = 16
 _BITS = 1 << 23
 
 
@@ -89,11 +91,11 @@ def _profile(k: int):
                 n[i] = len(x)
                 d1[i], d2[i] = d = _digest(x)
                 if d not in seen:
-                    if len(seen) < 200_000:
+                    if len(seen) < 50_000:
                         seen.add(d)
                     held.append(x)
                     size += len(x)
-                    if size > 4_000_000:
+                    if size > 1_500_000:
                         yield repeated()
                         size = 0
             none = pa.nulls(batch.num_rows, pa.int64())
@@ -139,7 +141,7 @@ def _list_rows(k: int, frequent: np.ndarray, place: np.ndarray, light: int):
                 d = _digest(x)
                 if d in seen:
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 50_000:
                     seen.add(d)
                 n = len(x)
                 if len(frequent):
@@ -200,7 +202,10 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("members", pa.binary())])
 
     def sets(batches):
+        have = bits.value
         for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(((have[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)))
             ids, hs, ms = [], [], []
             held = 0
             for i, x in _shingle_sets(batch.column(1), k):
@@ -214,15 +219,8 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
                         ids, hs, ms, held = [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ms, pa.binary())], schema=schema)
 
-    def may(batches):
-        have = bits.value
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = (have[at >> 5] >> (at & 31).astype(np.uint32)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
-
     chosen = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(_BITS)).alias("at"))
-    chosen = chosen.mapInArrow(may, "id long, text string").mapInArrow(sets, "id long, h long, members binary")
+    chosen = chosen.mapInArrow(sets, "id long, h long, members binary")
     left = pairs.join(chosen.toDF("a", "a1", "ma"), ["a", "a1"]).join(chosen.toDF("b", "b1", "mb"), ["b", "b1"])
 
     def tested(batches):
@@ -261,8 +259,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tokens, place = tokens[order], place[order]
     sizes = [(r["n"], r["count"]) for r in profile.where("n between 1 and 256").groupBy("n").count().collect()]
     totals = profile.agg(F.sum("n").alias("n")).first()["n"] or 1
-    meets = counts.agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0.0
-    light = _boundary(sizes, min(meets / totals, 1e6))
+    # Frequent shingles stand last and are hardly ever in a prefix: the others make the lists.
+    rare = counts.where(F.col("count") < F.lit(-common[-1][0] if len(common) == FREQUENT else 4))
+    meets = rare.agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0.0
+    light = _boundary(sizes, PAIR_COST * meets / totals)
     hot = spark.sparkContext.broadcast((tokens, place))
 
     def rows(batches, k=k, light=light):
