@@ -128,7 +128,7 @@ def _list_rows(k: int, frequent: np.ndarray, place: np.ndarray, light: int):
             sizes = [len(x[0]) for x in out]
             col = lambda f, t: np.repeat(np.array([f(x) for x in out], t), sizes)
             got = pa.RecordBatch.from_arrays(
-                [pa.array(V.signed(np.concatenate([x[0] for x in out]))), pa.array(col(lambda x: x[1], np.int32)), pa.array(col(lambda x: x[2][0], np.int64)), pa.array(col(lambda x: x[2][1], np.int64)), pa.array(col(lambda x: x[3], np.int32)), pa.array(np.zeros(sum(sizes), np.int32))],
+                [pa.array(V.signed(np.concatenate([x[0] for x in out]))), pa.array(col(lambda x: x[1], np.int32)), pa.array(col(lambda x: x[2][0], np.int64)), pa.array(col(lambda x: x[2][1], np.int64)), pa.array(col(lambda x: x[3], np.int32)), pa.array(np.concatenate([np.arange(1, m + 1) if x[1] == 1 else np.zeros(m) for x, m in zip(out, sizes, strict=True)]).astype(np.int32))],
                 schema=schema,
             )
             out.clear()
@@ -274,8 +274,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = lists.withColumn("lo", F.min(node).over(one)).withColumn("hi", F.max(node).over(one)).where("lo <> hi")
     # The vertex of a set is the smallest id of its documents.
     sole = profile.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id")).where("id is not null")
-    live = lists.select("key", "kind", "d1", "d2", "n").distinct().join(sole, ["d1", "d2"])
-    live = scratch.cut(live.select("key", "kind", "id", "d1", "n"), "lists")
+    live = lists.select("key", "kind", "d1", "d2", "n", "w").distinct().join(sole, ["d1", "d2"])
+    live = scratch.cut(live.select("key", "kind", "id", "d1", "n", "w"), "lists")
 
     # Prefix members in no other set cannot be shared: a set with many links only with small ones.
     shared = live.where("kind = 1").groupBy("id", "d1").agg(F.count("*").alias("shared"))
@@ -294,19 +294,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = components(spark, first, scratch).select("id", F.col("component").alias("comp"))
     groups = scratch.cut(groups, "groups")
 
-    side = members.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("key", "kind", "id", "d1", "n", "most", "comp")
+    side = members.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("key", "kind", "id", "d1", "n", "w", "most", "comp")
     x, y = side.alias("x"), side.alias("y")
+    # Sets that link share a member among the first n - overlap + 1 of both, overlap the least that a link of these sizes has.
+    overlap = F.expr("(3 * (x.n + y.n) + 6) div 7")
     meet = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.comp") < F.col("y.comp"))
         & (4 * F.col("x.n") >= 3 * F.col("y.n")) & (4 * F.col("y.n") >= 3 * F.col("x.n"))
         & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
-        & ((F.col("x.kind") == 2) | (F.col("x.n") > light) | (F.col("y.n") > light))
+        & ((F.col("x.kind") == 2) | (((F.col("x.n") > light) | (F.col("y.n") > light)) & (F.col("x.w") <= F.col("x.n") - overlap + 1) & (F.col("y.w") <= F.col("y.n") - overlap + 1)))
     )
-    names = [F.col(f"{s}.{c}").alias(f"{t}{i}") for s, t in (("x", "a"), ("y", "b")) for c, i in (("id", ""), ("d1", "1"), ("n", "n"))]
-    pairs = x.join(y, meet).select(F.col("x.kind").alias("kind"), *names).groupBy("kind", "a", "a1", "an", "b", "b1", "bn").agg(F.count("*").alias("c"))
-    # Of two heavy prefixes that share c members, one lacks all its others: too few shared means no link.
-    least = F.expr("(3 * (an + bn) + 6) div 7 - (3 * greatest(an, bn) + 3) div 4 + 1")
-    pairs = pairs.where((F.col("kind") == 2) | (F.col("c") >= least))
+    names = [F.col(f"{s}.{c}").alias(f"{t}{i}") for s, t in (("x", "a"), ("y", "b")) for c, i in (("id", ""), ("d1", "1"))]
+    pairs = x.join(y, meet).select(*names)
     pairs = scratch.cut(pairs.select("a", "a1", "b", "b1").distinct(), "pairs")
     second = scratch.cut(verify(docs, pairs, k), "links")
     final = components(spark, first.union(second), scratch)
