@@ -76,13 +76,13 @@ def policy_grid(scored: DataFrame, thresholds: list[float], margins: list[float]
 
 
 def separation(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: ROC-AUC (ties half), KS and Brier-free counts, from a running sum over distinct scores."""
+    """One row: ROC-AUC (ties half) and KS, from a running sum over distinct scores."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("p"), (F.count("*") - F.sum(label)).alias("n"))
     tot = by.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
     w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)  # a row per distinct score
     x = by.withColumn("cp", F.sum("p").over(w)).withColumn("cn", F.sum("n").over(w)).join(F.broadcast(tot))
-    auc = F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2.0)) / (F.first("tp") * F.first("tn"))
-    ks = F.max(F.abs(F.col("cp") / F.col("tp") - F.col("cn") / F.col("tn")))
+    auc = F.try_divide(F.sum(F.col("p") * (F.col("cn") - F.col("n") / 2.0)), F.first("tp") * F.first("tn"))  # null with one class only
+    ks = F.max(F.abs(F.try_divide("cp", "tp") - F.try_divide("cn", "tn")))
     return x.agg(F.round(auc, 9).alias("auc"), F.round(ks, 9).alias("ks"))
 
 

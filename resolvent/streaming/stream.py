@@ -39,8 +39,8 @@ def streamed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type as a stream with a watermark; late rows within it count."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
-    hours = events.withWatermark("ts", "36500 days").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return run_to_end(spark, hours.select(F.col("w.start").alias("ts_hour"), "event_type", "n"), "hours", "complete")
+    path = work_path(spark, "events")
+    A.table(spark, sf_dir, "events").write.parquet(path)  # a stream reads a folder that files arrive in
+    events = spark.readStream.schema(A.table(spark, sf_dir, "events").schema).parquet(path)
+    hours = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "36500 days").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return run_to_end(spark, hours.select(F.col("w.start").cast("timestamp_ntz").alias("ts_hour"), "event_type", "n"), "hours", "complete")
