@@ -4,13 +4,17 @@ Two generative models of hashed n-grams are compared: of the target (labelled
 rows that are good) and of the raw text (all documents).  A document's weight
 is the sum over its n-grams of log(target / raw); Gumbel top-k draws documents
 without replacement in proportion to the weights, with k the number of
-documents whose weight is above a cut fitted on labelled rows.
-
-N-grams are words, word pairs, word shapes (runs of character classes), shape
-pairs and a marker for a word that repeats the one before; the shapes carry what
-a hashed word alone cannot, such as shouting or stray symbols.  Buckets whose
-two rates do not differ significantly weigh nothing, so that rare words of clean
-text do not add up to noise.
+documents whose weight is not negative (the cuts are fitted on labelled rows).
+
+Two such ratios are taken.  The first is over words, word pairs, word shapes
+(runs of character classes), shape pairs and a marker for a word that repeats
+the one before; the shapes carry what a hashed word alone cannot, such as
+shouting or stray symbols.  It grows with the text, so the few words that make a
+text unfit would drown in it; the second is over words without their
+punctuation and adds up only those that good text all but lacks.  The weight is
+the smaller of the two, each measured from its cut.  Buckets whose two rates do
+not differ significantly weigh nothing, so that rare words of clean text do not
+add up to noise.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ from ._scratch import Scratch
 #: Labelled rows used to fit the target model and the cut, at most; chosen by a hash of the id.
 MAX_LABELLED = 50_000
 #: log2 of the number of buckets; the models are two vectors of this size whatever the corpus.
-LOG_BUCKETS = 18
+LOG_BUCKETS, LOG_CORE = 18, 20
 #: Pseudo-counts that pull a bucket's target rate to its raw rate.
-PRIOR = 5.0
+PRIOR, PRIOR_CORE = 5.0, 2.0
+#: Log ratio under which a word counts as one that good text lacks.
+LACKS = -2.5
 #: Standard errors by which a bucket's rates differ to count.
 SIGNIFICANT = 4.0
 
@@ -42,12 +48,13 @@ _SALT = V.stream(8, 91) | np.uint64(1)
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, log_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of every n-gram of the rows."""
+    """(bucket, row) of every n-gram of the rows; words without punctuation come in buckets of their own, behind the others."""
     s, e, r = V.cut_words(raw, offsets)
     if not len(s):
         z = np.zeros(0, np.int64)
         return z, z
-    low = V.span_hash(V.lower_ascii(raw), s, e)
+    lower = V.lower_ascii(raw)
+    low = V.span_hash(lower, s, e)
     cls = _CLASS[raw]
     turn = np.r_[True, cls[1:] != cls[:-1]]
     turn[s] = True
@@ -59,22 +66,25 @@ def features(raw: np.ndarray, offsets: np.ndarray, log_buckets: int) -> tuple[np
     again = same & (low[1:] == low[:-1])
     hashes = np.concatenate([V.mix(low), V.mix(pair[same]), V.mix(shape * _SALT[4]), V.mix(shapes[same]), np.full(int(again.sum()), _SALT[5])])
     rows = np.concatenate([r, r[1:][same], r, r[1:][same], r[1:][again]])
-    return (hashes >> np.uint64(64 - log_buckets)).astype(np.int64), rows
+    bare = np.where(cls == 4, np.uint8(0x20), lower)
+    cs, ce, cr = V.cut_words(bare, offsets)
+    core = (V.mix(V.span_hash(bare, cs, ce)) >> np.uint64(64 - LOG_CORE)).astype(np.int64) + (1 << log_buckets)
+    return np.concatenate([(hashes >> np.uint64(64 - log_buckets)).astype(np.int64), core]), np.concatenate([rows, cr])
 
 
 def _counts(log_buckets: int):
-    """(bucket, n) of a task's texts, and a negative bucket -1 for the total."""
+    """(bucket, n) of a task's texts."""
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        total = np.zeros(1 << log_buckets, np.int64)
+        total = np.zeros((1 << log_buckets) + (1 << LOG_CORE), np.int64)
         for batch in batches:
             for _, raw, offsets in V.chunks(batch.column(0)):
                 b, _ = features(raw, offsets, log_buckets)
-                total += np.bincount(b, minlength=len(total))
+                np.add.at(total, b, 1)
         at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(total[at[i : i + 100_000]])], schema=schema)
 
     return run
 
@@ -82,46 +92,52 @@ def _counts(log_buckets: int):
 def _vector(texts: DataFrame, log_buckets: int) -> np.ndarray:
     """Counts by bucket over all rows; the driver gets one row per bucket at most."""
     rows = texts.mapInArrow(_counts(log_buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << log_buckets)
+    out = np.zeros((1 << log_buckets) + (1 << LOG_CORE))
     for batch in rows.toArrow().to_batches():
         out[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False)
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     """Log of the target's rate over the raw rate by bucket; 0 where they do not differ significantly."""
     if not target.sum() or not raw.sum():
         return np.zeros(len(raw))
     expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + PRIOR) / (expected + PRIOR))
+    ratio = np.log((target + prior) / (expected + prior))
     spread = np.sqrt(np.maximum(expected, 1.0))
     return np.where(np.abs(target - expected) >= SIGNIFICANT * spread, ratio, 0.0)
 
 
+def model(target: np.ndarray, raw: np.ndarray, log_buckets: int) -> np.ndarray:
+    """The weights of all buckets: the ratio of the n-grams, and of the bare words that good text lacks."""
+    n = 1 << log_buckets
+    core = log_ratio(target[n:], raw[n:], PRIOR_CORE)
+    return np.r_[log_ratio(target[:n], raw[:n]), np.where(core < LACKS, core, 0.0)].astype(np.float32)
+
+
 def _scores(weights, log_buckets: int, text: bool = False):
-    """Adds log_weight and n_words; the text, which is the last column, is passed on or left out."""
-    schema = pa.schema([("log_weight", pa.float64()), ("n_words", pa.int64())])
+    """Adds the two sums of weights; the text, which is the last column, is passed on or left out."""
+    schema = pa.schema([("w_all", pa.float64()), ("w_core", pa.float64())])
 
     def run(batches):
         w = weights.value
         for batch in batches:
-            n = batch.num_rows
-            score, words = np.zeros(n), np.zeros(n, np.int64)
+            sums = np.zeros((2, batch.num_rows))
             for first, raw, offsets in V.chunks(batch.column(batch.num_columns - 1)):
                 b, r = features(raw, offsets, log_buckets)
-                k = len(offsets) - 1
-                score[first : first + k] = np.bincount(r, weights=w[b], minlength=k)
-                words[first : first + k] = np.bincount(V.cut_words(raw, offsets)[2], minlength=k)
+                k, core = len(offsets) - 1, b >= 1 << log_buckets
+                for i, part in enumerate((~core, core)):
+                    sums[i, first : first + k] = np.bincount(r[part], weights=w[b[part]], minlength=k)
             kept = batch.columns if text else batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array(words)], names=[*batch.schema.names[: len(kept)], *schema.names])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sums[0]), pa.array(sums[1])], names=[*batch.schema.names[: len(kept)], *schema.names])
 
     return run
 
 
 def _cut(score: np.ndarray, good: np.ndarray) -> float:
     """The cut that makes the sum of both classes' rates largest, moved to the middle of its gap."""
-    if good.all() or not good.any():
-        return -np.inf
+    if not len(good) or good.all() or not good.any():
+        return -1e300
     order = np.argsort(score, kind="stable")
     s, g = score[order], good[order]
     lost = np.r_[0, np.cumsum(g)] / g.sum()
@@ -130,7 +146,7 @@ def _cut(score: np.ndarray, good: np.ndarray) -> float:
     gain[1:-1][s[1:] == s[:-1]] = -1
     i = int(np.argmax(gain))
     if i == 0:
-        return -np.inf
+        return -1e300
     return float(s[i - 1] + s[i]) / 2 if i < len(s) else float(s[-1]) + 1
 
 
@@ -142,7 +158,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     and the cut take ``max_labelled`` rows at most (smallest hashes of the id);
     the raw model and the scores take all documents.  ``gumbel_key`` is
     log_weight + temperature * Gumbel(seed, id, text); the k largest keys are
-    kept, k the number of weights at or above the cut.  ``kept`` is decided by
+    kept, k the number of weights of 0 or more.  ``kept`` is decided by
     the k-th key itself: ties with it are all kept.  A null or empty text weighs
     0 and is judged like any other; ``with_text`` false leaves the text out of the result.  With no labelled row of either class, all
     are kept.  Columns of ``docs`` named like the new ones are replaced; an
@@ -160,10 +176,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sure = scratch.cut(sure, "labels")
     mine = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     mine = mine.join(F.broadcast(sure), "__id").select("__good", "__text")  # at most max_labelled short rows
-    weights = log_ratio(_vector(mine.where("__good").select("__text"), log_buckets), raw)
+    weights = model(_vector(mine.where("__good").select("__text"), log_buckets), raw, log_buckets)
     sent = spark.sparkContext.broadcast(weights)
-    fitted = mine.mapInArrow(_scores(sent, log_buckets), "__good boolean, log_weight double, n_words long").select("__good", "log_weight").toPandas()
-    cut = _cut(fitted["log_weight"].to_numpy(), fitted["__good"].to_numpy(bool))
+    sums = "w_all double, w_core double"
+    fitted = mine.mapInArrow(_scores(sent, log_buckets), f"__good boolean, {sums}").toPandas()
+    good, first, second = (fitted[c].to_numpy() for c in ("__good", "w_all", "w_core"))
+    cut_all = _cut(first, good.astype(bool))
+    passed = first >= cut_all
+    cut_core = _cut(second[passed], good[passed].astype(bool))
+    weight = F.least(F.col("w_all") - F.lit(float(cut_all)), F.col("w_core") - F.lit(float(cut_core)))
 
     # The text goes through Python; what else a row has stays on the JVM's side of the row.
     h = F.xxhash64(F.lit(seed), F.col("__id"), F.col("__h"))
@@ -172,12 +193,12 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     who = [F.struct(F.lit(0).alias("__"), *rest).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__h")]
     keyed = docs.select(*who, F.col(text_col).cast("string").alias("__text"))
-    shape = f"__row {keyed.schema['__row'].dataType.simpleString()}, __id long, __h long, {'__text string, ' if with_text else ''}log_weight double, n_words long"
-    scored = keyed.mapInArrow(_scores(sent, log_buckets, with_text), shape)
+    shape = f"__row {keyed.schema['__row'].dataType.simpleString()}, __id long, __h long, {'__text string, ' if with_text else ''}{sums}"
+    scored = keyed.mapInArrow(_scores(sent, log_buckets, with_text), shape).withColumn("log_weight", weight)
     slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    slim = slim.mapInArrow(_scores(sent, log_buckets), "__id long, __h long, log_weight double, n_words long")
+    slim = slim.mapInArrow(_scores(sent, log_buckets), f"__id long, __h long, {sums}").withColumn("log_weight", weight)
     keys = scratch.cut(slim.select("log_weight", (F.col("log_weight") + temperature * gumbel).alias("key")), "keys")
-    k = keys.where(F.col("log_weight") >= F.lit(cut)).count()
+    k = keys.where("log_weight >= 0").count()
     floor = kth_largest(keys, "key", k)
     key = F.col("log_weight") + temperature * gumbel
     names = [F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns if with_text or c != text_col]
