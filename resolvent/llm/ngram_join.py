@@ -42,6 +42,12 @@ PAIR_COST = 16
 _BITS = 1 << 23
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (numpy's own ``unique`` hashes, which is slower)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]]
+
+
 def _shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray | None]]:
     """(row, sorted distinct shingle hashes) for every row; None where it has no word."""
     for first, raw, offsets in V.chunks(texts):
@@ -50,7 +56,7 @@ def _shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray | N
         g, gr = V.grams(V.span_hash(raw, s, e), r, k)
         at = np.searchsorted(gr, np.arange(len(offsets)))
         for i in range(len(offsets) - 1):
-            yield first + i, (np.unique(g[at[i] : at[i + 1]]) if at[i] < at[i + 1] else None)
+            yield first + i, (distinct(g[at[i] : at[i + 1]]) if at[i] < at[i + 1] else None)
 
 
 _C = V.stream(4, 77) | np.uint64(1)
@@ -319,3 +325,29 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The result of op3 in DuckDB SQL: all shared shingles counted, then the smallest id passed along the links.
+ORACLE = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+), s as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by 1
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)
+), r(id, root) as (
+  select doc_id, doc_id from documents
+  union
+  select l.b, r.root from r join l on l.a = r.id where r.root < l.b
+), m as (
+  select id, min(root) as component_id from r group by 1
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id
+from documents d join m on m.id = d.doc_id left join n on n.doc_id = d.doc_id
+"""

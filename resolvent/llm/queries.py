@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, host_rules, mixing, warc
+from . import embedding_dedup, host_rules, mixing, ngram_join, url_filter, warc
 from .importance import op9_importance_resampling
 from .line_dedup import op7_line_dedup
 from .ngram_join import op3_ngram_jaccard_join
@@ -30,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of the same rows, where SQL can express them.
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op3_ngram_jaccard_join": ngram_join.ORACLE,
+    "op4_url_filter": url_filter.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
     "op8_warc_round_trip": warc.ORACLE,
     "op10_host_quality_rules": host_rules.ORACLE,

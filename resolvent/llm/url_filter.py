@@ -142,3 +142,44 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _oracle(rules=RULES) -> str:
+    """The result of op4 in DuckDB SQL, level by level."""
+    ordered = sorted(rules, key=lambda r: -len(r[0]))
+    fits = lambda t: f"(host = '{t.partition('/')[0]}' or host like '%.{t.partition('/')[0]}') and starts_with(path, '/{t.partition('/')[2]}')"
+    rule = "case " + " ".join(f"when {fits(t)} then '{t}'" for t, _ in ordered) + " end"
+    said = "case " + " ".join(f"when {fits(t)} then '{v}'" for t, v in ordered) + " end"
+    kind = """case when regexp_full_match(x, '[0-9]+') then '{n}'
+      when regexp_full_match(x, '[0-9]+\\.[A-Za-z]{2,5}') then '{n}' || regexp_extract(x, '\\.[A-Za-z]+$')
+      when regexp_full_match(x, '[0-9a-fA-F-]{8,}') and regexp_matches(x, '[0-9]') then '{h}' else x end"""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    out = [
+        f"""u as (select page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.)*?://([^/?#]*)', 1), '{upper}', '{lower}') as host,
+             regexp_extract(coalesce(url, ''), '^(?s:.)*?://[^/?#]*([^?#]*)', 1) as path from pages)""",
+        f"v as (select *, {rule} as rule, {said} as said, string_split(regexp_replace(path, '^/|/$', '', 'g'), '/') as s from u)",
+        f"x as (select *, case when host <> '' then list_concat(list_transform(list_slice(s, 1, {DEPTH}), lambda x: {kind}), case when len(s) > {DEPTH} then ['**'] else []::varchar[] end) end as segs from v)",
+        "t0 as (select host, segs, count(*) as n, count(case when said = 'block' then 1 end) as b, count(case when said = 'allow' then 1 end) as a, []::varchar[] as t from x where segs is not null group by host, segs)",
+    ]
+    for i in range(1, DEPTH + 2):
+        q = f"t{i - 1}"
+        out += [
+            f"k{i} as (select host, t, segs[{i}] as seg, sum(n) as n from {q} where segs[{i}] is not null group by host, t, segs[{i}])",
+            f"n{i} as (select host, t, count(*) as kids, sum(n) as total from k{i} group by host, t having count(*) > {KIDS})",
+            f"r{i} as (select host, t, seg from k{i} join n{i} using (host, t) where k{i}.n < {SHARE} * total)",
+            f"t{i} as (select q.host, segs, n, b, a, case when segs[{i}] is null then q.t when r.seg is not null then list_append(q.t, '*') else list_append(q.t, segs[{i}]) end as t from {q} q left join r{i} r on r.host = q.host and r.t = q.t and r.seg = q.segs[{i}])",
+        ]
+    last = f"t{DEPTH + 1}"
+    out += [
+        f"c as (select host, t, sum(b)::double as b, sum(a + b)::double as l, list_concat(['*'], list_slice(t, 2, {DEPTH + 2})) as br from {last} group by host, t)",
+        "g as (select sum(b) / sum(l) as base from c)",
+        "p as (select host, br, sum(b) / sum(l) as p, count(*) as members from c where l > 0 group by host, br)",
+        f"d as (select c.*, coalesce(l > 0 and members > 1 and abs(b - l * p) <= {SIMILAR} * sqrt(l * p * (1 - p)) + 1e-9, false) as alike from c left join p using (host, br))",
+        "m as (select host, br, sum(b) as mb, sum(l) as ml from d where alike group by host, br)",
+        f"e as (select host, t, case when alike then ml else l end as l, ((case when alike then mb else b end) + {PRIOR} * coalesce(base, 0)) / ((case when alike then ml else l end) + {PRIOR}) as purity from d left join m using (host, br), g)",
+        f"f as (select z.host, z.segs, case when e.l > 0 and e.purity >= {PURITY} then 'block' else 'allow' end as method from {last} z join e on e.host = z.host and e.t = z.t)",
+    ]
+    return "with " + ", ".join(out) + " select page_id, x.host, path, rule, coalesce(said, method, 'allow') as verdict from x left join f on f.host = x.host and f.segs = x.segs"
+
+
+ORACLE = _oracle()
