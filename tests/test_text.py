@@ -65,3 +65,21 @@ def test_string_metrics():
     assert S.jaro_winkler_one("", "") == 0.0 and S.jaro_winkler_one("a", "a") == 1.0
     assert S.lcs_length("kitten", "sitting") == 4 and S.indel_ratio("", "") == 1.0
     assert S.token_sort_ratio("b a", "a b") == 1.0 and S.token_set_ratio("a b c", "a b") == 1.0 and S.partial_ratio("bcd", "abcde") == 1.0
+
+
+def test_romanizer():
+    from resolvent.functions.romanize import to_ascii
+
+    assert to_ascii("लक्ष्मी") == "lakshmee" and to_ascii("राम") == "raam" and to_ascii("१२३") == "123"
+    assert to_ascii("Café ß") == "Cafe ss" and to_ascii(None) == ""
+    assert to_ascii("संपत") == "sampat" and to_ascii("ಕಮಲ") == "kamal"
+
+
+def test_number_relations(spark):
+    from resolvent.functions import keys as Y
+
+    cases = [(["1"], ["1"], "equal"), (["1"], ["1", "2"], "subset"), (["1", "2"], ["1"], "superset"), (["1", "2"], ["1", "3"], "overlap"), ([], ["1"], "missing left"), ([], [], "none"), (["123"], ["124"], "near"), (["12"], ["512"], "part"), (["11"], ["999"], "different")]
+    df = spark.createDataFrame(cases, "a array<string>, b array<string>, want string")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", Y.number_relation(F.col("a"), F.col("b"))).collect())
+    row = spark.createDataFrame([(["100", "7"], ["103", "9000"])], "a array<string>, b array<string>").select(Y.closest_delta(F.col("a"), F.col("b")).alias("d")).first()
+    assert row["d"] == 3
