@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 from .ranking import capped_by_source, group_context
 
-G = Window.partitionBy("s1_id")
-BY_PROB = Window.partitionBy("s1_id").orderBy(F.desc("prob"), "target_id")
+
+
+def group():
+    """The candidates of a record."""
+    return Window.partitionBy("s1_id")
+
+
+def by_prob():
+    """The candidates of a record, the most probable first."""
+    return group().orderBy(F.desc("prob"), "target_id")
+
+
 #: Thresholds of the pipelines this engine stands for.
 PRESETS = {"g1": {"threshold": 0.75, "floor": 0.40}, "g2": {"tau_s2": 0.72, "tau_s3": 0.75, "floor": 0.40}, "g3": {"threshold": 0.58}}
 
 
 def threshold_policy(df: DataFrame, threshold: float = 0.72, floor: float = 0.40) -> DataFrame:
     """Nothing for a record whose best is under the floor, else all at or over the threshold."""
-    return df.withColumn("__top", F.max("prob").over(G)).where((F.col("__top") >= floor) & (F.col("prob") >= threshold)).drop("__top")
+    return df.withColumn("__top", F.max("prob").over(group())).where((F.col("__top") >= floor) & (F.col("prob") >= threshold)).drop("__top")
 
 
 def source_threshold(tau_s2: float = 0.72, tau_s3: float = 0.75) -> Column:
@@ -30,7 +40,7 @@ def singleton_tiers(df: DataFrame, a: float = 0.82, b: float = 0.68, margin: flo
     """Adds tier: C (nothing), A (accept) or B (verify); ``evidence`` is a Column that the best row must meet."""
     x = group_context(df, score="prob")
     lead = F.col("top") - F.greatest("second", F.lit(0.0))
-    proof = F.max(F.when(F.col("rank") == 1, F.coalesce(evidence, F.lit(False)) if evidence is not None else F.lit(False))).over(G)
+    proof = F.max(F.when(F.col("rank") == 1, F.coalesce(evidence, F.lit(False)) if evidence is not None else F.lit(False))).over(group())
     tier = (
         F.when(F.col("top") < floor, "C")
         .when((F.col("top") >= a) & ((lead >= margin) | (F.col("size") == 1)), "A")
@@ -42,10 +52,10 @@ def singleton_tiers(df: DataFrame, a: float = 0.82, b: float = 0.68, margin: flo
 
 def expected_f_legacy(df: DataFrame) -> DataFrame:
     """The prefix of largest expected F with recall taken as 1: only ties of the best survive."""
-    x = df.withColumn("__k", F.row_number().over(BY_PROB))
-    mean = F.sum("prob").over(BY_PROB.rowsBetween(Window.unboundedPreceding, 0)) / F.col("__k")
+    x = df.withColumn("__k", F.row_number().over(by_prob()))
+    mean = F.sum("prob").over(by_prob().rowsBetween(Window.unboundedPreceding, 0)) / F.col("__k")
     x = x.withColumn("__f", F.round(1.25 * mean / (0.25 * mean + 1), 12))
-    best = F.max(F.struct("__f", "__k")).over(G)["__k"]
+    best = F.max(F.struct("__f", "__k")).over(group())["__k"]
     return x.withColumn("__best", best).where(F.col("__k") <= F.col("__best")).drop("__k", "__f", "__best")
 
 
@@ -55,11 +65,11 @@ def expected_f_select(df: DataFrame, miss: float = 0.0, power: float = 1.0) -> D
     E[T] is the sum of all probabilities and ``miss``; the empty set scores the
     probability that nothing is true and wins if that is larger.
     """
-    x = df.withColumn("__q", F.least(F.pow("prob", F.lit(power)), F.lit(1 - 1e-7))).withColumn("__k", F.row_number().over(BY_PROB))
-    x = x.withColumn("__tp", F.sum("__q").over(BY_PROB.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__t", F.sum("__q").over(G) + miss)
-    x = x.withColumn("__empty", F.exp(F.sum(F.log1p(-F.col("__q"))).over(G)))
+    x = df.withColumn("__q", F.least(F.pow("prob", F.lit(power)), F.lit(1 - 1e-7))).withColumn("__k", F.row_number().over(by_prob()))
+    x = x.withColumn("__tp", F.sum("__q").over(by_prob().rowsBetween(Window.unboundedPreceding, 0))).withColumn("__t", F.sum("__q").over(group()) + miss)
+    x = x.withColumn("__empty", F.exp(F.sum(F.log1p(-F.col("__q"))).over(group())))
     x = x.withColumn("__f", F.round(1.25 * F.col("__tp") / (F.col("__k") + 0.25 * F.col("__t")), 12))
-    best = F.max(F.struct("__f", (-F.col("__k")).alias("__n"))).over(G)
+    best = F.max(F.struct("__f", (-F.col("__k")).alias("__n"))).over(group())
     x = x.withColumn("__best", best)
     return x.where((F.col("__k") <= -F.col("__best.__n")) & (F.col("__best.__f") >= F.col("__empty"))).drop("__q", "__k", "__tp", "__t", "__empty", "__f", "__best")
 
@@ -68,7 +78,7 @@ def full_engine(df: DataFrame, tau_s2: float = 0.72, tau_s3: float = 0.75, legac
     """Tiers, thresholds by source, rescue of a decisive best, expected F and caps, in that order."""
     x = singleton_tiers(df, evidence=evidence).where("tier <> 'C'")
     passes = F.col("prob") >= source_threshold(tau_s2, tau_s3)
-    x = x.withColumn("__any", F.max(passes.cast("int")).over(G)).where(passes | ((F.col("__any") == 0) & (F.col("tier") == "A") & (F.col("rank") == 1) & (F.col("top") >= rescue)))
+    x = x.withColumn("__any", F.max(passes.cast("int")).over(group())).where(passes | ((F.col("__any") == 0) & (F.col("tier") == "A") & (F.col("rank") == 1) & (F.col("top") >= rescue)))
     chosen = (expected_f_legacy if legacy else expected_f_select)(x.select(*df.columns))
     return capped_by_source(chosen, 5, None)
 
@@ -90,11 +100,11 @@ def one_to_one(df: DataFrame) -> DataFrame:
 
 def threshold_or_best(df: DataFrame, threshold: float, min_top: float) -> DataFrame:
     """All at the threshold, and the best one from ``min_top`` on."""
-    return df.withColumn("__r", F.row_number().over(BY_PROB)).where((F.col("prob") >= threshold) | ((F.col("__r") == 1) & (F.col("prob") >= min_top))).drop("__r")
+    return df.withColumn("__r", F.row_number().over(by_prob())).where((F.col("prob") >= threshold) | ((F.col("__r") == 1) & (F.col("prob") >= min_top))).drop("__r")
 
 
 def singleton_gate(df: DataFrame, least: float) -> DataFrame:
-    return df.withColumn("__top", F.max("prob").over(G)).where(F.col("__top") >= least).drop("__top")
+    return df.withColumn("__top", F.max("prob").over(group())).where(F.col("__top") >= least).drop("__top")
 
 
 def score_margin(df: DataFrame, threshold: float, margin: float) -> DataFrame:

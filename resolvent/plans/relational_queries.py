@@ -174,8 +174,8 @@ add("win_03_top2", lambda s, d: R.group_context(as_score(s, d)).where("rank = 1"
 add("win_04_context", lambda s, d: R.group_context(as_score(s, d)).select("s1_id", "target_id", "rank", *[F.round(c, 9).alias(c) for c in ("gap", "ratio", "topgap", "margin_next")], "size"), f"{CTX} select s1_id, target_id, rank, round(top - prob, 9) as gap, round(prob / (top + 1e-6), 9) as ratio, round(top - second, 9) as topgap, round(coalesce(prob - nxt, 0), 9) as margin_next, size from y")
 add("win_04b_target_context", lambda s, d: R.group_context(as_score(s, d), "target_id", tie="s1_id", prefix="t_").select("s1_id", "target_id", "t_rank", F.round("t_gap", 9).alias("t_gap")), f"{C} select s1_id, target_id, row_number() over (partition by target_id order by prob desc, s1_id) as t_rank, round(max(prob) over (partition by target_id) - prob, 9) as t_gap from c")
 add("win_06_group_size", lambda s, d: scored(s, d).select("s1_id", "target_id", F.count("*").over(Window.partitionBy("s1_id")).alias("n")), f"{C} select s1_id, target_id, count(*) over (partition by s1_id) as n from c")
-add("win_07_prefix_sum", lambda s, d: scored(s, d).select("s1_id", "target_id", F.round(F.sum("prob").over(D.BY_PROB.rowsBetween(Window.unboundedPreceding, 0)), 9).alias("upto")), f"{C} select s1_id, target_id, round(sum(prob) over (partition by s1_id order by prob desc, target_id rows unbounded preceding), 9) as upto from c")
-add("win_08_none_true", lambda s, d: scored(s, d).select("s1_id", F.exp(F.sum(F.log1p(-F.least("prob", F.lit(1 - 1e-7)))).over(D.G)).alias("p")).distinct().groupBy("s1_id").agg(F.round(F.max("p") + 5e-10, 6).alias("none")), f"{C} select s1_id, round(exp(sum(ln(1 - least(prob, 1 - 1e-7)))) + 5e-10, 6) as none from c group by 1")
+add("win_07_prefix_sum", lambda s, d: scored(s, d).select("s1_id", "target_id", F.round(F.sum("prob").over(D.by_prob().rowsBetween(Window.unboundedPreceding, 0)), 9).alias("upto")), f"{C} select s1_id, target_id, round(sum(prob) over (partition by s1_id order by prob desc, target_id rows unbounded preceding), 9) as upto from c")
+add("win_08_none_true", lambda s, d: scored(s, d).select("s1_id", F.exp(F.sum(F.log1p(-F.least("prob", F.lit(1 - 1e-7)))).over(D.group())).alias("p")).distinct().groupBy("s1_id").agg(F.round(F.max("p") + 5e-10, 6).alias("none")), f"{C} select s1_id, round(exp(sum(ln(1 - least(prob, 1 - 1e-7)))) + 5e-10, 6) as none from c group by 1")
 add("win_10_best_owner", lambda s, d: D.one_to_one(scored(s, d)).select(*P3), f"{C} select s1_id, target_id, prob from (select *, row_number() over (partition by target_id order by prob desc, s1_id) as r from c) where r = 1")
 
 add("top_01_global", lambda s, d: T(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice"), "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
