@@ -111,6 +111,34 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def edit_class(a: str, b: str) -> str:
+    """The one edit that turns a into b (ins:x, del:x, sub:x>y, swap:xy); empty if it takes none or more."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return ""
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    if len(a) == len(b):
+        if a[i + 1 :] == b[i + 1 :]:
+            return f"sub:{a[i]}>{b[i]}"
+        return f"swap:{a[i]}{a[i + 1]}" if a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :] else ""
+    if len(a) < len(b):
+        return f"ins:{b[i]}" if a[i:] == b[i + 1 :] else ""
+    return f"del:{a[i]}" if a[i + 1 :] == b[i:] else ""
+
+
+def with_edit_class(df: DataFrame, a: str, b: str, name: str = "edit") -> DataFrame:
+    """``df`` with the edit class of two word columns, computed once per distinct pair."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"__a": pdf["__a"], "__b": pdf["__b"], name: [edit_class(x, y) for x, y in zip(pdf["__a"], pdf["__b"], strict=True)]})
+
+    pairs = df.select(F.col(a).alias("__a"), F.col(b).alias("__b")).where("__a is not null and __b is not null").distinct()
+    told = pairs.mapInPandas(run, f"__a string, __b string, {name} string")
+    return df.join(told, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b"))).drop("__a", "__b")
+
+
 METRICS = {"jaro_winkler": jaro_winkler_one, "ratio": indel_ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "partial": partial_ratio}
 
 

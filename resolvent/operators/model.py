@@ -49,9 +49,9 @@ def out_of_fold(pairs: DataFrame, features: list[str], learner, k: int = 3, grou
     return out.drop("__fold")
 
 
-def ensemble_out_of_fold(pairs: DataFrame, features: list[str], k: int = 3, weights: tuple[float, ...] = (0.45, 0.40, 0.15)) -> DataFrame:
+def ensemble_out_of_fold(pairs: DataFrame, features: list[str], k: int = 3, weights: tuple[float, ...] = (0.45, 0.40, 0.15), learners: tuple = ()) -> DataFrame:
     """A weighted blend of three learners with Platt scaling, both out of fold."""
-    learners = (gbt(), gbt(seed=7, depth=3), forest())
+    learners = learners or (gbt(), gbt(seed=7, depth=3), forest())
     x = pairs
     for i, m in enumerate(learners):
         x = out_of_fold(x, features, m, k, name=f"p{i}")

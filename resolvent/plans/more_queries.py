@@ -127,6 +127,18 @@ add("feat_41_candidate_counts", lambda s, d: scored(s, d).select("s1_id", "targe
 add("feat_42_prerank", lambda s, d: R.group_context(as_score(s, d)).select("s1_id", "target_id", "rank", F.round(F.col("rank") / F.col("size"), 9).alias("rank_share"), F.round("ratio", 9).alias("ratio")), f"{CTX} select s1_id, target_id, rank, round(rank / size, 9) as rank_share, round(prob / (top + 1e-6), 9) as ratio from y")
 add("lrn_04_delta_log_odds", lambda s, d: labelled(s, d).select("country_a", "label", Y.closest_delta(DIG("addr_a"), DIG("addr_b")).alias("delta")).where("delta is not null").groupBy("country_a", "delta").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).withColumn("pooled", F.sum("pos").over(Window.partitionBy("delta")) / F.sum("n").over(Window.partitionBy("delta"))).select("country_a", "delta", "n", F.round(F.when(F.col("n") >= 20, F.col("pos") / F.col("n")).otherwise(F.col("pooled")), 6).alias("rate")))
 
+
+
+def edits(s, d):
+    """Words that a pair's names do not share, with the single edit between them."""
+    x = TOK(labelled(s, d)).select("s1_id", "target_id", "label", F.explode(F.array_except("ta", "tb")).alias("a"), "ta", "tb")
+    x = x.select("s1_id", "target_id", "label", "a", F.explode(F.array_except("tb", "ta")).alias("b"))
+    return S.with_edit_class(x, "a", "b")
+
+
+add("feat_37_edit_classes", lambda s, d: edits(s, d).where("edit <> ''").select("s1_id", "target_id", "a", "b", "edit"))
+add("lrn_03_edit_log_odds", lambda s, d: edits(s, d).groupBy("edit").agg(F.sum("label").alias("pos"), (F.count("*") - F.sum("label")).alias("neg")).select("edit", "pos", "neg", F.round(F.log((F.col("pos") + 1.0) / (F.col("neg") + 1.0)), 9).alias("log_odds")))
+
 # Decisions and evaluation ---------------------------------------------------------
 add("dec_05_rescue", lambda s, d: D.threshold_or_best(scored(s, d).where("target_id like 'S3-%'"), 0.75, 0.70).select(*P3), f"{C} select s1_id, target_id, prob from (select *, {W} as r from c where target_id like 'S3-%') where prob >= 0.75 or (r = 1 and prob >= 0.70)")
 add("dec_06_source_caps", lambda s, d: R.capped_by_source(scored(s, d), 2, None).select(*P3), f"{C} select s1_id, target_id, prob from (select *, row_number() over (partition by s1_id, substr(target_id, 1, 2) order by prob desc, target_id) as a from c) where a <= 2")
@@ -167,6 +179,17 @@ def ml_12(s, d):
 add("ml_12_training_pairs", ml_12)
 
 
+def preranked(s, d):
+    """IR-17: candidates of a wide block that a cheap model ranks among the first or thinks likely."""
+    x = training(s, d)
+    scored_ = M.predict(M.fit(x, NUMERIC[:4], M.logistic()), x)
+    return R.ranked(scored_.withColumn("prob", F.round("prob", 9)), score="prob").where("rank <= 2 or prob >= 0.5").select("s1_id", "target_id", "prob", "rank")
+
+
+add("ir_17_preranked", preranked)
+add("ml_06_ensemble", lambda s, d: M.ensemble_out_of_fold(training(s, d), NUMERIC, 2, learners=(M.gbt(3, 2), M.gbt(3, 3, seed=7), M.forest(5, 3))).select("s1_id", "target_id", "label", "prob"))
+
+
 def saved_model(s, d):
     """A fitted pipeline written, read and used again (SNK-05)."""
     path = io.work_path(s, "matcher")

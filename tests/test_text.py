@@ -83,3 +83,8 @@ def test_number_relations(spark):
     assert all(r["got"] == r["want"] for r in df.withColumn("got", Y.number_relation(F.col("a"), F.col("b"))).collect())
     row = spark.createDataFrame([(["100", "7"], ["103", "9000"])], "a array<string>, b array<string>").select(Y.closest_delta(F.col("a"), F.col("b")).alias("d")).first()
     assert row["d"] == 3
+
+
+def test_edit_classes():
+    for a, b, want in (("cat", "cut", "sub:a>u"), ("cat", "cats", "ins:s"), ("cats", "cat", "del:s"), ("form", "from", "swap:or"), ("a", "a", ""), ("abc", "xyz", ""), ("", "x", "ins:x")):
+        assert S.edit_class(a, b) == want
