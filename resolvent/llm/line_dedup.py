@@ -31,15 +31,22 @@ _BITS = 1 << 23
 _FILL = V.stream(64, 31)
 
 
+def codepoints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and where byte offsets stand among them."""
+    if not (raw & 0x80).any():
+        return raw.astype(np.uint32), offsets
+    cp = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    before = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=before[1:])
+    return cp, before[offsets]
+
+
 def _lines(texts: pa.Array, shortest: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, line number, start, end, code points, bytes-free hash pair) of all lines of at least ``shortest`` characters."""
-    for first, raw, offsets in V.chunks(texts):
+    """(row, line number, start, end, bytes) of all lines of at least ``shortest`` characters."""
+    for first, raw, offs in V.chunks(texts):
         if not len(raw):
             continue
-        cp = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        lead = np.flatnonzero((raw & 0xC0) != 0x80)
-        offs = np.searchsorted(lead, offsets) if len(lead) != len(raw) else offsets
-        breaks = np.flatnonzero(cp == 10)
+        breaks = np.flatnonzero(raw == 10)
         row_of = np.searchsorted(offs, breaks, "right") - 1
         starts = np.r_[offs[:-1], breaks + 1]
         rows = np.r_[np.arange(len(offs) - 1), row_of]
@@ -49,25 +56,30 @@ def _lines(texts: pa.Array, shortest: int) -> Iterator[tuple[np.ndarray, ...]]:
         ends = np.where(last, offs[rows + 1], np.r_[starts[1:] - 1, 0])
         head = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         number = np.arange(len(rows)) - np.repeat(head, np.diff(np.r_[head, len(rows)]))
-        keep = ends - starts >= shortest
+        size = ends - starts
+        more = (raw & 0xC0) == 0x80
+        if more.any():  # bytes that go on a character
+            before = np.zeros(len(raw) + 1, np.int32)
+            np.cumsum(more, out=before[1:])
+            size = size - (before[ends] - before[starts])
+        keep = size >= shortest
         if keep.any():
-            yield first + rows[keep], number[keep], starts[keep], ends[keep], cp
+            yield first + rows[keep], number[keep], starts[keep], ends[keep], raw
 
 
-_CP = V.stream(5, 41) | np.uint64(1)
+_SECOND = V.stream(256, 43)
 
 
-def _identity(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that name a line's text."""
-    p, inv = V._power_table(len(cp) + 1)
-    out = []
-    for salt in (_CP[0], _CP[1]):
-        v = V.mix(cp.astype(np.uint64) * salt)
-        sums = np.empty(len(cp) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(v * p[: len(cp)], out=sums[1:])
-        out.append(V.signed(V.mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64))))
-    return out[0], out[1]
+def _identity(raw: np.ndarray, s: np.ndarray, e: np.ndarray, both: bool = False):
+    """64 bits that name a line's text; with ``both`` 64 more, independent ones."""
+    h1 = V.signed(V.span_hash(raw, s, e))
+    if not both:
+        return h1
+    p, inv = V._power_table(len(raw) + 1)
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_SECOND[raw] * p[: len(raw)], out=sums[1:])
+    return h1, V.signed(V.mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64)))
 
 
 def _occurrences(shortest: int):
@@ -75,8 +87,8 @@ def _occurrences(shortest: int):
 
     def run(batches):
         for batch in batches:
-            for rows, number, s, e, cp in _lines(batch.column(2), shortest):
-                h1, h2 = _identity(cp, s, e)
+            for rows, number, s, e, raw in _lines(batch.column(2), shortest):
+                h1, h2 = _identity(raw, s, e, True)
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2)], schema=schema)
 
@@ -85,61 +97,83 @@ def _occurrences(shortest: int):
 
 def _spans(s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all spans (start, size) one after the other, and the span of each."""
-    of = np.repeat(np.arange(len(s)), size)
+    of = np.repeat(np.arange(len(s), dtype=np.int32), size)
     begin = np.cumsum(size) - size
-    return np.arange(int(size.sum())) - begin[of] + s[of], of
+    return np.arange(len(of), dtype=np.int32) + (s - begin).astype(np.int32)[of], of
+
+
+_GRAM32 = (V.stream(8, 41) | np.uint64(1)).astype(np.uint32)
+
+
+def _grams32(cp: np.ndarray, k: int) -> np.ndarray:
+    """A 32-bit hash of the k characters from every position on (of fewer, at the end, none)."""
+    n = len(cp) - k + 1
+    if n <= 0:
+        return np.zeros(1, np.uint32)
+    h = cp[:n] * _GRAM32[0]
+    for j in range(1, k):
+        h += cp[j : n + j] * _GRAM32[j % 8]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h
 
 
 def signatures(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int, bands: int, rows: int) -> np.ndarray:
     """Band keys (line, band) of one-permutation MinHash; empty bins borrow from a fixed walk over the others."""
     bins = bands * rows
-    size = np.maximum(e - s - k + 1, 1)
-    if len(cp) >= k:
-        v = cp.astype(np.uint64)
-        h = v[: len(cp) - k + 1] * _CP[0]
-        for j in range(1, k):
-            h = h + v[j : len(cp) - k + 1 + j] * _CP[j]
-    else:
-        h = np.zeros(1, np.uint64)
-    at, of = _spans(s, size)
-    h = V.mix(h[np.minimum(at, len(h) - 1)])
-    bin_ = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    sig = np.full(len(s) * bins, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(sig, of * bins + bin_.astype(np.int64), low)
+    at, of = _spans(s, np.maximum(e - s - k + 1, 1))
+    h = _grams32(cp, k)
+    h = h[np.minimum(at, len(h) - 1)]
+    bin_ = (((h * np.uint32(0x9E3779B1)) >> np.uint32(16)) * np.uint32(bins)) >> np.uint32(16)
+    none = np.uint32(0xFFFFFFFF)
+    sig = np.full(len(s) * bins, none, np.uint32)
+    np.minimum.at(sig, of.astype(np.int64) * bins + bin_, h)
     sig = sig.reshape(len(s), bins)
-    empty = sig == 0xFFFFFFFF
-    for step in range(1, 64):
-        if not empty.any():
-            break
-        # Each bin has a walk of its own, so borrowed values of two lines agree as often as their own do.
-        source = ((np.arange(bins, dtype=np.uint64) * np.uint64(2 * step + 1) + _FILL[step]) % np.uint64(bins)).astype(np.int64)
-        got = sig[:, source]
-        good = empty & (got != 0xFFFFFFFF) & ~(empty[:, source])
-        sig = np.where(good, got ^ np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF), sig)
-        empty = empty & ~good
-    with np.errstate(over="ignore"):
-        sig = sig.reshape(len(s), bands, rows).astype(np.uint64)
-        key = np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        for j in range(rows):
-            key = V.mix((key ^ sig[:, :, j]) * _CP[3] + _CP[4])
+    poor = np.flatnonzero((sig == none).any(axis=1))
+    if len(poor):
+        own = sig[poor]
+        got = own.copy()
+        for step in range(1, 64):
+            empty = got == none
+            if not empty.any():
+                break
+            # Each bin has a walk of its own, so borrowed values of two lines agree as often as their own do.
+            source = ((np.arange(bins, dtype=np.uint64) * np.uint64(2 * step + 1) + _FILL[step]) % np.uint64(bins)).astype(np.int64)
+            lent = own[:, source]
+            good = empty & (lent != none)
+            got[good] = lent[good] ^ np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
+        sig[poor] = got
+    sig = sig.reshape(len(s), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 % (1 << 60)), (len(s), bands))
+    for j in range(rows):
+        key = V.mix((key ^ sig[:, :, j]) * _ODD[0] + _ODD[1])
     return key
 
 
+_ODD = V.stream(2, 47) | np.uint64(1)
+
+
 def _band_rows(shortest: int, k: int, bands: int, rows: int):
     schema = pa.schema([("band", pa.int64()), ("h1", pa.int64())])
 
     def run(batches):
-        seen = np.zeros(0, np.int64)
+        seen: set[int] = set()
         for batch in batches:
-            for _, _, s, e, cp in _lines(batch.column(0), shortest):
-                h1, _ = _identity(cp, s, e)
-                _, at = np.unique(h1, return_index=True)
-                at = at[~np.isin(h1[at], seen)]
-                if len(seen) < 500_000:
-                    seen = np.union1d(seen, h1[at])
+            for _, _, s, e, raw in _lines(batch.column(0), shortest):
+                h1 = _identity(raw, s, e)
+                new = []
+                for i, h in enumerate(h1.tolist()):
+                    if h not in seen:
+                        if len(seen) < 300_000:
+                            seen.add(h)
+                        new.append(i)
+                at = np.array(new, np.int64)
                 if len(at):
-                    key = signatures(cp, s[at], e[at], k, bands, rows)
+                    cp, ends = codepoints(raw, np.r_[s[at], e[at]])
+                    key = signatures(cp, ends[: len(at)], ends[len(at) :], k, bands, rows)
                     yield pa.RecordBatch.from_arrays([pa.array(V.signed(key.ravel())), pa.array(np.repeat(h1[at], bands))], schema=schema)
 
     return run
@@ -161,8 +195,8 @@ def _texts(shortest: int, bits):
     def run(batches):
         have, seen = bits.value, set()
         for batch in batches:
-            for _, _, s, e, cp in _lines(batch.column(0), shortest):
-                h1, _ = _identity(cp, s, e)
+            for _, _, s, e, raw in _lines(batch.column(0), shortest):
+                h1 = _identity(raw, s, e)
                 at = h1 & (_BITS - 1)
                 hit = np.flatnonzero((have[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
                 ids, out = [], []
@@ -172,7 +206,7 @@ def _texts(shortest: int, bits):
                         if len(seen) < 50_000:
                             seen.add(h)
                         ids.append(h)
-                        out.append(cp[s[i] : e[i]].tobytes().decode("utf-32-le", "surrogatepass"))
+                        out.append(raw[s[i] : e[i]].tobytes().decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], schema=schema)
 
     return run
@@ -183,15 +217,44 @@ def shingles(text: str, k: int) -> set[str]:
     return {text[i : i + k] for i in range(max(1, len(text) - k + 1))}
 
 
+def _gram_keys(col: pa.Array, k: int) -> np.ndarray:
+    """Distinct (row, shingle) of a column as sorted 64-bit keys: 16 bits of row, 48 of the shingle's hash."""
+    out = []
+    for first, raw, offs in V.chunks(col):
+        cp, offs = codepoints(raw, offs)
+        size = np.diff(offs)
+        at, of = _spans(offs[:-1], np.maximum(size - k + 1, 1))
+        v = np.r_[cp, np.zeros(k, np.uint32)].astype(np.uint64)
+        if (size < k).any():  # a shorter line is its own shingle: nothing of the next line counts
+            ends = np.repeat(offs[1:], np.maximum(size - k + 1, 1))
+            h = sum((np.where(at + j < ends, v[at + j] + np.uint64(1), np.uint64(0)) * _ODD5[j] for j in range(k)), np.zeros(len(at), np.uint64))
+        else:
+            h = (v[: len(cp)] + np.uint64(1)) * _ODD5[0]
+            for j in range(1, k):
+                h += (v[j : len(cp) + j] + np.uint64(1)) * _ODD5[j]
+            h = h[at]
+        out.append(((of.astype(np.uint64) + np.uint64(first)) << np.uint64(48)) | (V.mix(h) >> np.uint64(16)))
+    keys = np.sort(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
+_ODD5 = V.stream(64, 53) | np.uint64(1)
+
+
 def _tested(k: int, percent: int):
+    """The exact Jaccard test, for the pairs of a batch at once (shingles by 48 bits of hash)."""
+
     def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = shingles(x, k), shingles(y, k)
-                both = len(a & b)
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                n = batch.num_rows
+                x, y = _gram_keys(batch.column(2), k), _gram_keys(batch.column(3), k)
+                size = lambda keys: np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=n)
+                z = np.concatenate([x, y])
+                z.sort(kind="stable")
+                both = size(z[1:][z[1:] == z[:-1]])
+                yield batch.select([0, 1]).filter(pa.array(100 * both >= percent * (size(x) + size(y) - both)))
 
     return run
 
