@@ -283,31 +283,29 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     live = lists.select("key", "kind", "d1", "d2", "n", "w").distinct().join(sole, ["d1", "d2"])
     live = scratch.cut(live.select("key", "kind", "id", "d1", "n", "w"), "lists")
 
-    # Prefix members in no other set cannot be shared: a set with many links only with small ones.
+    # Prefix members in no other prefix only choose the middle of a star: they may stand behind the prefix of a larger set.
     shared = live.where("kind = 1").groupBy("id", "d1").agg(F.count("*").alias("shared"))
     floor = F.expr("(3 * n + 3) div 4")
     own = F.col("n") - floor + 1 - F.coalesce("shared", F.lit(0))
     members = live.join(shared, ["id", "d1"], "left").withColumn("own", F.when(F.col("kind") == 1, own).otherwise(0))
-    members = members.withColumn("most", F.expr("(7 * (n - own)) div 3 - n")).where("4 * most >= 3 * n")
 
     w = Window.partitionBy("key", "kind")
     long_lists = members.withColumn("len", F.count("*").over(w)).where(F.col("len") > LONG_LIST)
-    best = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "d1", "n", "most")).over(w)
-    star = long_lists.withColumn("c", best).where("(c.id <> id or c.d1 <> d1) and 4 * c.n >= 3 * n and 4 * n >= 3 * c.n and c.n <= most and n <= c.most")
+    best = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "d1", "n")).over(w)
+    star = long_lists.withColumn("c", best).where("(c.id <> id or c.d1 <> d1) and 4 * c.n >= 3 * n and 4 * n >= 3 * c.n")
     star = star.select(F.col("c.id").alias("a"), F.col("c.d1").alias("a1"), F.col("id").alias("b"), F.col("d1").alias("b1")).distinct()
     star = scratch.cut(star, "star")
     first = scratch.cut(verify(docs, star, k), "links")
     groups = components(spark, first, scratch).select("id", F.col("component").alias("comp"))
     groups = scratch.cut(groups, "groups")
 
-    side = members.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("key", "kind", "id", "d1", "n", "w", "most", "comp")
+    side = members.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("key", "kind", "id", "d1", "n", "w", "comp")
     x, y = side.alias("x"), side.alias("y")
     # Sets that link share a member among the first n - overlap + 1 of both, overlap the least that a link of these sizes has.
     overlap = F.expr("(3 * (x.n + y.n) + 6) div 7")
     meet = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.comp") < F.col("y.comp"))
         & (4 * F.col("x.n") >= 3 * F.col("y.n")) & (4 * F.col("y.n") >= 3 * F.col("x.n"))
-        & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
         & ((F.col("x.kind") == 2) | (((F.col("x.n") > light) | (F.col("y.n") > light)) & (F.col("x.w") <= F.col("x.n") - overlap + 1) & (F.col("y.w") <= F.col("y.n") - overlap + 1)))
     )
     names = [F.col(f"{s}.{c}").alias(f"{t}{i}") for s, t in (("x", "a"), ("y", "b")) for c, i in (("id", ""), ("d1", "1"))]

@@ -76,6 +76,18 @@ def test_join_matches_brute_force(spark, seed):
     assert got == brute_join(rows)
 
 
+def test_join_finds_texts_held_in_longer_ones(spark):
+    rng = random.Random(5)
+    rows = []
+    for n, (short, long) in enumerate([(77, 100), (80, 100), (30, 38), (75, 100)] * 15):  # shingles; no pair shares a word with another
+        words = [f"p{n}w{rng.randrange(10**6)}" for _ in range(long + 4)]
+        at = rng.randrange(long - short + 1)
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[at : at + short + 4]))]
+    rows += [(1000 + n, " ".join(f"f{n}w{i}" for i in range(10_000))) for n in range(30)]  # lists are short, so the pairs are heavy
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_join(rows)
+
+
 def test_join_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_components(none).count() == 0
