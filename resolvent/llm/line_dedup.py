@@ -6,8 +6,9 @@ confirms; union-find joins the confirmed pairs, and of every component one line
 stays, the first by (document id, line number).
 
 In a bucket of a band every line is compared with the bucket's first line and
-with its next neighbours, so a bucket of many near copies costs rows in
-proportion to its size; the several bands give it as many chances to be joined.
+with its next neighbours, so a bucket of many near copies is joined by rows in
+proportion to its size; the pairs that are left across components are then all
+tested, block by block of a large bucket.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from ._scratch import Scratch
 BANDS, ROWS = 10, 5
 #: Neighbours in a bucket that a line is compared with, besides the first.
 NEXT = 3
+#: Lines of a bucket that one block holds; pairs of blocks are the unit of work.
+BLOCK = 1000
 _BITS = 1 << 23
 _FILL = V.stream(64, 31)
 
@@ -272,15 +275,33 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bands = docs.select("text").mapInArrow(_band_rows(shortest, k, BANDS, ROWS), "band long, h1 long")
     w = Window.partitionBy("band").orderBy("h1")
+    # A line that several tasks saw stands once in a bucket.
+    bands = bands.withColumn("last", F.lag("h1").over(w)).where("last is null or last <> h1").select("band", "h1")
     near = [F.lag("h1", i).over(w) for i in range(1, NEXT + 1)] + [F.first("h1").over(w)]
-    pairs = bands.select("h1", F.array(*near).alias("others")).where("others[0] is not null").select("h1", F.explode(F.array_distinct("others")).alias("other"))
+    buckets = bands.select("band", "h1", F.array(*near).alias("others"), F.row_number().over(w).alias("at"), F.count("*").over(Window.partitionBy("band")).alias("size"))
+    buckets = scratch.cut(buckets.where("size > 1"), "buckets")
+    pairs = buckets.where("others[0] is not null").select("h1", F.explode(F.array_distinct("others")).alias("other"))
     pairs = scratch.cut(pairs.where("other < h1").select(F.col("other").alias("a"), F.col("h1").alias("b")).distinct(), "pairs")
 
-    bits = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("a").alias("h1")).union(pairs.select("b"))))
-    texts = docs.select("text").mapInArrow(_texts(shortest, bits), "h1 long, line string").dropDuplicates(["h1", "line"])
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    links = scratch.cut(both.mapInArrow(_tested(k, percent), "a long, b long"), "links")
-    comp = components(spark, links, scratch)
+    def linked(pairs):
+        bits = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("a").alias("h1")).union(pairs.select("b"))))
+        texts = docs.select("text").mapInArrow(_texts(shortest, bits), "h1 long, line string").dropDuplicates(["h1", "line"])
+        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        return scratch.cut(both.mapInArrow(_tested(k, percent), "a long, b long"), "links")
+
+    first = linked(pairs)
+    groups = scratch.cut(components(spark, first, scratch), "groups")
+    # Buckets of up to NEXT + 2 lines are tested whole; so are those of one component.
+    one = Window.partitionBy("band")
+    rest = buckets.where(F.col("size") > NEXT + 2).select("band", "h1", "at", "size").join(groups, F.col("h1") == F.col("id"), "left")
+    rest = rest.select("band", "h1", "at", F.coalesce("component", "h1").alias("comp"), F.expr(f"(at - 1) div {BLOCK}").alias("block"), F.expr(f"(size - 1) div {BLOCK}").alias("blocks"))
+    rest = scratch.cut(rest.withColumn("lo", F.min("comp").over(one)).withColumn("hi", F.max("comp").over(one)).where("lo <> hi").drop("lo", "hi"), "rest")
+    x = rest.select("band", "block", F.explode(F.expr("sequence(block, blocks)")).alias("other"), "h1", "at", "comp").alias("x")
+    y = rest.select("band", F.explode(F.expr("sequence(0L, block)")).alias("block"), F.col("block").alias("other"), "h1", "at", "comp").alias("y")
+    meet = " and ".join(f"x.{c} = y.{c}" for c in ("band", "block", "other")) + f" and x.comp <> y.comp and x.at > 1 and y.at - x.at > {NEXT}"
+    left = x.join(y, F.expr(meet)).select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct()
+    second = linked(scratch.cut(left, "pairs"))
+    comp = components(spark, first.union(second), scratch)
 
     # Exact copies share (h1, h2); fuzzy ones the smallest h1 of their component.
     named = found.join(comp, found["h1"] == comp["id"], "left").select(found["id"], "doc", "line", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("c2"))

@@ -161,6 +161,20 @@ def test_line_dedup_matches_brute_force(spark):
     assert got[903] == "" or got[903] == want[903]
 
 
+def test_line_dedup_tests_all_pairs_of_a_bucket(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(n))
+    frame, lines = word(240), []
+    for _ in range(300):  # one template with a changing part: strangers are under the threshold, partners well over it
+        part = word(48)
+        lines += [frame + part, frame + part[:-18] + word(18)]
+    a, b, c = (shingles(x, 5) for x in (lines[0], lines[1], lines[2]))
+    assert len(a & c) / len(a | c) < 0.75 <= len(a & b) / len(a | b)
+    rng.shuffle(lines)
+    out = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert out.where("dropped_lines = 1").count() >= 298  # partners share a bucket but for a few in a thousand
+
+
 def test_band_recall():
     rng = np.random.default_rng(1)
     hit = n = 0
