@@ -30,6 +30,8 @@ BANDS, ROWS = 10, 5
 NEXT = 3
 #: Lines of a bucket that one block holds; pairs of blocks are the unit of work.
 BLOCK = 1000
+#: Characters from which on a blank line is a line like any other; a shorter one is layout.
+BLANK = 32
 _BITS = 1 << 23
 _FILL = V.stream(64, 31)
 
@@ -45,7 +47,7 @@ def codepoints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _lines(texts: pa.Array, shortest: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, line number, start, end, bytes) of all lines of at least ``shortest`` characters."""
+    """(row, line number, start, end, bytes) of all lines of at least ``shortest`` characters but short blank ones."""
     for first, raw, offs in V.chunks(texts):
         if not len(raw):
             continue
@@ -66,6 +68,10 @@ def _lines(texts: pa.Array, shortest: int) -> Iterator[tuple[np.ndarray, ...]]:
             np.cumsum(more, out=before[1:])
             size = size - (before[ends] - before[starts])
         keep = size >= shortest
+        if shortest < BLANK:
+            seen = np.zeros(len(raw) + 1, np.int32)
+            np.cumsum((raw != 32) & ((raw < 9) | (raw > 13)), out=seen[1:])
+            keep &= (size >= BLANK) | (seen[ends] > seen[starts])
         if keep.any():
             yield first + rows[keep], number[keep], starts[keep], ends[keep], raw
 
@@ -316,7 +322,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at ``\\n``.  Of lines that are equal or whose sets of k-character
     shingles have a Jaccard similarity of at least ``percent`` / 100 (joined by
     links), the first by (id, text hash, line number) stays; a null id comes
-    first.  Lines of fewer than ``shortest`` characters are left alone.  A null
+    first.  Lines of fewer than ``shortest`` characters, and blank
+    ones of fewer than BLANK, are left alone.  A null
     or empty text stays as it is.  Rows of equal id and text are one document
     and get the same result.  A document that loses every line gets the empty
     text.  All columns of ``docs`` are kept (one named dropped_lines is replaced); an empty table gives an empty table.
@@ -340,5 +347,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document: lines in all, lines dropped, words and characters left, and a digest of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, shortest=1)
     return out.select("doc_id", "dropped_lines", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -1,5 +1,6 @@
 """The join, line dedup and embedding operators against brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from resolvent.llm import _vec
 from resolvent.llm._graph import components
 from resolvent.llm.embedding_dedup import similar_vectors
-from resolvent.llm.line_dedup import dedup_lines, shingles, signatures
+from resolvent.llm.line_dedup import dedup_lines, op7_line_dedup, shingles, signatures
 from resolvent.llm.ngram_join import _boundary, _prefix, ngram_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -175,6 +176,18 @@ def test_line_dedup_tests_all_pairs_of_a_bucket(spark):
     assert out.where("dropped_lines = 1").count() >= 298  # partners share a bucket but for a few in a thousand
 
 
+def test_queries_take_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["see you\n\nA\n" + "long line " * 5, "see you\n\n  \nB", "  \nA\nnew é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [texts[0], "\n  \nB", "  \nnew é"]
+    got = {r["doc_id"]: r["text_sha256"] for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(want)}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == dict(enumerate(want))
+
+
 def test_band_recall():
     rng = np.random.default_rng(1)
     hit = n = 0
