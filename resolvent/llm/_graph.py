@@ -3,8 +3,9 @@
 Every round lets each vertex point at its smallest neighbour, follows pointers
 once more and contracts the links, so that a link table shrinks by a constant
 factor in expectation (ids are scrambled first, so an adversarial order of ids
-does not make long chains).  All steps are joins and partial aggregations, so a
-vertex with many links costs no task more than its share.
+does not make long chains).  All steps are joins and partial aggregations; what
+joins on a vertex that very many rows point at is answered by a broadcast, so
+such a vertex costs no task more than its share.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
+from ._skew import frequent, join_unique
 
 
 def _scramble(c: Column) -> Column:
@@ -76,17 +78,18 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None =
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
         least = scratch.cut(least, "least")
-        hop = least.alias("x").join(least.alias("y"), F.col("x.m") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.m").alias("r"))
+        hop = join_unique(least, least.toDF("m", "r"), ["m"], hot=frequent(least, ["m"])).select("v", "r")
         hop = scratch.cut(hop, "hop")
         to = hop.select("v", "r")
-        moved = edges.join(to.toDF("a", "ra"), "a").join(to.toDF("b", "rb"), "b").where("ra <> rb")
+        # A forest's edges point at their roots, which may be few.
+        moved = join_unique(edges, to.toDF("a", "ra"), ["a"], hot=frequent(edges, ["a"])).join(to.toDF("b", "rb"), "b").where("ra <> rb")
         moved = moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         after = scratch.cut(moved.mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
         if labels is None:
             labels_after = hop
         else:
             labels_after = scratch.cut(
-                labels.join(to.toDF("r", "r2"), "r", "left").select("v", F.coalesce("r2", "r").alias("r")), "labels"
+                join_unique(labels, to.toDF("r", "r2"), ["r"], "left", frequent(labels, ["r"])).select("v", F.coalesce("r2", "r").alias("r")), "labels"
             )
             scratch.forget(labels)
             scratch.forget(hop)
@@ -95,6 +98,6 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None =
         edges, labels = after, labels_after
     if labels is None:
         return vertices.select("id", F.col("id").alias("component"))
-    rooted = vertices.join(labels, "v", "left").select("id", F.coalesce("r", "v").alias("r"))
+    rooted = scratch.cut(vertices.join(labels, "v", "left").select("id", F.coalesce("r", "v").alias("r")), "rooted")
     smallest = rooted.groupBy("r").agg(F.min("id").alias("component"))
-    return rooted.join(smallest, "r").select("id", "component")
+    return join_unique(rooted, smallest, ["r"], hot=frequent(rooted, ["r"])).select("id", "component")

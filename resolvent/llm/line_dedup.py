@@ -1,14 +1,17 @@
 """Operator 7: removal of fuzzy duplicate lines by MinHash.
 
 A line's signature is a one-permutation MinHash over its 5-character shingles;
-bands of it give candidates, which an exact Jaccard test over the whole lines
-confirms; union-find joins the confirmed pairs, and of every component one line
-stays, the first by (document id, line number).
-
-In a bucket of a band every line is compared with the bucket's first line and
-with its next neighbours, so a bucket of many near copies is joined by rows in
-proportion to its size; the pairs that are left across components are then all
-tested, block by block of a large bucket.
+bands of it give buckets, inside which all pairs are held against each other by
+the exact Jaccard similarity of the whole lines; union-find joins the pairs that
+link, and of every component one line stays, the first by (document id, line
+number).
+
+What leaves a bucket is a group of lines, not its pairs: a 50-bit sketch of the
+signature drops the lines that only share common shingles with the rest, equal
+groups of several bands are one, and a group's links leave it as a spanning
+forest.  A bucket of more than BLOCK lines is tested in blocks that share its
+first line; only blocks whose lines are then still in different components meet
+each other.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ from pyspark.sql.window import Window
 from . import _vec as V
 from ._graph import components
 from ._scratch import Scratch
+from ._skew import HOT, frequent, join_unique
 
 BANDS, ROWS = 10, 5
-#: Neighbours in a bucket that a line is compared with, besides the first.
-NEXT = 3
 #: Lines of a bucket that one block holds; pairs of blocks are the unit of work.
 BLOCK = 1000
+#: Bits of the sketch that two lines at the threshold share (one bit a value; 44 are expected, standard deviation 2.3).
+ALIKE = 35
+#: Values without a shingle of their own from which on a sketch says too little about a (short) line.
+POOR = 10
 #: Characters from which on a blank line is a line like any other; a shorter one is layout.
 BLANK = 32
-_BITS = 1 << 23
 _FILL = V.stream(64, 31)
 
 
@@ -130,9 +135,8 @@ def _grams32(cp: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def signatures(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int, bands: int, rows: int) -> np.ndarray:
-    """Band keys (line, band) of one-permutation MinHash; empty bins borrow from a fixed walk over the others."""
-    bins = bands * rows
+def minhash(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """One-permutation MinHash (line, bin), and how many bins of a line borrow from a fixed walk over the others."""
     at, of = _spans(s, np.maximum(e - s - k + 1, 1))
     h = _grams32(cp, k)
     h = h[np.minimum(at, len(h) - 1)]
@@ -141,7 +145,8 @@ def signatures(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int, bands: int,
     sig = np.full(len(s) * bins, none, np.uint32)
     np.minimum.at(sig, of.astype(np.int64) * bins + bin_, h)
     sig = sig.reshape(len(s), bins)
-    poor = np.flatnonzero((sig == none).any(axis=1))
+    lent_to = (sig == none).sum(axis=1)
+    poor = np.flatnonzero(lent_to)
     if len(poor):
         own = sig[poor]
         got = own.copy()
@@ -155,18 +160,34 @@ def signatures(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int, bands: int,
             good = empty & (lent != none)
             got[good] = lent[good] ^ np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
         sig[poor] = got
-    sig = sig.reshape(len(s), bands, rows).astype(np.uint64)
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 % (1 << 60)), (len(s), bands))
+    return sig, lent_to
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys (line, band) of signatures."""
+    values = sig.reshape(len(sig), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 % (1 << 60)), (len(sig), bands))
     for j in range(rows):
-        key = V.mix((key ^ sig[:, :, j]) * _ODD[0] + _ODD[1])
+        key = V.mix((key ^ values[:, :, j]) * _ODD[0] + _ODD[1])
     return key
 
 
+def signatures(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int, bands: int, rows: int) -> np.ndarray:
+    """Band keys (line, band) of lines."""
+    return band_keys(minhash(cp, s, e, k, bands * rows)[0], bands, rows)
+
+
+def sketches(sig: np.ndarray, lent_to: np.ndarray) -> np.ndarray:
+    """A bit of each of the first 62 values, and bit 62 where a line has too few shingles for them to say much."""
+    bits = (V.mix(sig[:, :62]) & np.uint64(1)) << np.arange(min(62, sig.shape[1]), dtype=np.uint64)[None, :]
+    return bits.sum(axis=1, dtype=np.uint64) | ((lent_to > POOR).astype(np.uint64) << np.uint64(62))
+
+
 _ODD = V.stream(2, 47) | np.uint64(1)
 
 
 def _band_rows(shortest: int, k: int, bands: int, rows: int):
-    schema = pa.schema([("band", pa.int64()), ("h1", pa.int64())])
+    schema = pa.schema([("band", pa.int64()), ("h1", pa.int64()), ("sketch", pa.int64())])
 
     def run(batches):
         seen: set[int] = set()
@@ -182,17 +203,118 @@ def _band_rows(shortest: int, k: int, bands: int, rows: int):
                 at = np.array(new, np.int64)
                 if len(at):
                     cp, ends = codepoints(raw, np.r_[s[at], e[at]])
-                    key = signatures(cp, ends[: len(at)], ends[len(at) :], k, bands, rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(V.signed(key.ravel())), pa.array(np.repeat(h1[at], bands))], schema=schema)
+                    sig, lent_to = minhash(cp, ends[: len(at)], ends[len(at) :], k, bands * rows)
+                    key, bits = band_keys(sig, bands, rows), V.signed(sketches(sig, lent_to))
+                    yield pa.RecordBatch.from_arrays([pa.array(V.signed(key.ravel())), pa.array(np.repeat(h1[at], bands)), pa.array(np.repeat(bits, bands))], schema=schema)
+
+    return run
+
+
+def _once(batches):
+    """Sorted batches without rows whose first two columns equal the row before."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            new = np.r_[(a[0], b[0]) != last, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            last = (a[-1], b[-1])
+            yield batch if new.all() else batch.filter(pa.array(new))
+
+
+def _runs(batches, most: int):
+    """(columns, piece): runs of equal values of the first column of sorted batches.
+
+    Columns hold whole runs only, for which ``piece`` is None; a run that goes on
+    over more than ``most`` rows and a batch comes in pieces of its own, numbered from 0.
+    """
+    held, piece = None, 0
+    for batch in batches:
+        cols = batch if held is None else pa.Table.from_batches([*held, batch]).combine_chunks().to_batches(max_chunksize=None)[0]
+        held = None
+        if not cols.num_rows:
+            continue
+        key = cols.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
+        if piece and last:  # the long run ends here
+            end = int(np.flatnonzero(key[1:] != key[:-1])[0]) + 1
+            for at in range(0, end, most):
+                yield cols.slice(at, min(most, end - at)), piece + at // most
+            cols, last, piece = cols.slice(end), last - end, 0
+        if last:
+            yield cols.slice(0, last), None
+        rest = cols.slice(last)
+        while rest.num_rows > most:
+            yield rest.slice(0, most), piece
+            rest, piece = rest.slice(most), piece + 1
+        held = [rest] if rest.num_rows else None
+    if held is not None:
+        yield held[0], piece or None
+
+
+def _linked(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """The members of every component of a symmetric boolean matrix that has more than one."""
+    left = rows.any(axis=1)
+    while left.any():
+        mine = np.zeros(len(rows), bool)
+        edge = np.array([int(np.argmax(left))])
+        while len(edge):
+            mine[edge] = True
+            edge = np.flatnonzero(rows[edge].any(axis=0) & ~mine)
+        left &= ~mine
+        yield np.flatnonzero(mine)
+
+
+def _groups(alike: int, block: int):
+    """Rows (g, h1) of groups whose pairs have to be tested; lines of long buckets also give their band."""
+    schema = pa.schema([("g", pa.int64()), ("h1", pa.int64()), ("band", pa.int64())])
+    poor, value = np.uint64(1 << 62), np.uint64((1 << 62) - 1)
+
+    def rows(g, h1, band=None):
+        return pa.RecordBatch.from_arrays([pa.array(V.signed(g)), pa.array(h1), pa.nulls(len(h1), pa.int64()) if band is None else pa.array(band)], schema=schema)
+
+    def agree(x, y, bins):
+        """Whether two sketches do not rule out a link."""
+        return (bins - np.bitwise_count((x ^ y) & value) >= alike) | ((x | y) & poor != 0)
+
+    def run(batches):
+        first = None
+        for cols, piece in _runs(_once(batches), block):  # a line that several tasks saw stands once in a bucket
+            band, h1, sketch = (cols.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if piece is not None:
+                g = V.mix(np.array([band[0], piece], np.int64).view(np.uint64)).sum(keepdims=True)
+                if piece == 0:
+                    first = h1[:1]
+                else:
+                    yield rows(g, first)
+                yield rows(np.repeat(g, len(h1)), h1, band)
+                continue
+            sketch = sketch.view(np.uint64)
+            start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            size = np.diff(np.r_[start, len(band)])
+            two = start[size == 2]
+            two = two[agree(sketch[two], sketch[two + 1], BANDS * ROWS)]
+            if len(two):
+                g = V.mix(V.mix(h1[two].view(np.uint64)) + V.mix(h1[two + 1].view(np.uint64)))
+                yield rows(np.r_[g, g], np.r_[h1[two], h1[two + 1]])
+            out = []
+            for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                x = sketch[a : a + n]
+                may = agree(x[:, None], x[None, :], BANDS * ROWS)
+                np.fill_diagonal(may, False)
+                out += [h1[a + at] for at in _linked(may)]
+            if out:
+                g = np.array([V.mix(x.view(np.uint64)).sum() for x in out], np.uint64)
+                yield rows(np.repeat(V.mix(g), [len(x) for x in out]), np.concatenate(out))
 
     return run
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of one hash and 1 MB over the column ``h1``."""
-    b = F.col("h1").bitwiseAND(F.lit(_BITS - 1))
+    """A Bloom filter of one hash over the column ``h1``: 16 bits a row, 128 KB at least and 32 MB at most."""
+    size = 1 << min(28, max(20, (16 * ids.count()).bit_length()))
+    b = F.col("h1").bitwiseAND(F.lit(size - 1))
     words = ids.select(F.shiftright(b, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(31)).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-    out = np.zeros(_BITS >> 5, np.uint32)
+    out = np.zeros(size >> 5, np.uint32)
     for batch in words.toArrow().to_batches():
         out[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
     return out
@@ -206,7 +328,7 @@ def _texts(shortest: int, bits):
         for batch in batches:
             for _, _, s, e, raw in _lines(batch.column(0), shortest):
                 h1 = _identity(raw, s, e)
-                at = h1 & (_BITS - 1)
+                at = h1 & (len(have) * 32 - 1)
                 hit = np.flatnonzero((have[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
                 ids, out = [], []
                 for i in hit.tolist():
@@ -250,25 +372,62 @@ def _gram_keys(col: pa.Array, k: int) -> np.ndarray:
 _ODD5 = V.stream(64, 53) | np.uint64(1)
 
 
+def _pairs_linked(x: pa.Array, y: pa.Array, k: int, percent: int) -> np.ndarray:
+    """Whether the lines of two columns link, row by row."""
+    out = []
+    for start in range(0, len(x), 1000):
+        a, b = _gram_keys(x.slice(start, 1000), k), _gram_keys(y.slice(start, 1000), k)
+        n = min(1000, len(x) - start)
+        size = lambda keys: np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=n)
+        z = np.concatenate([a, b])
+        z.sort(kind="stable")
+        both = size(z[1:][z[1:] == z[:-1]])
+        out.append(100 * both >= percent * (size(a) + size(b) - both))
+    return np.concatenate(out) if out else np.zeros(0, bool)
+
+
+def _all_linked(lines: pa.Array, k: int, percent: int) -> np.ndarray:
+    """The symmetric matrix of which lines link; shared shingles are counted by matrix products."""
+    keys, m = _gram_keys(lines, k), len(lines)
+    row = (keys >> np.uint64(48)).astype(np.int64)
+    size = np.bincount(row, minlength=m)
+    _, of, count = np.unique(keys & np.uint64((1 << 48) - 1), return_inverse=True, return_counts=True)
+    shared = count[of] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[of[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both, width = np.zeros((m, m), np.float32), 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        x = np.zeros((m, min(width, int(column[b - 1]) - low + 1)), np.float32)
+        x[row[a:b], column[a:b] - low] = 1
+        both += x @ x.T
+    np.fill_diagonal(both, 0)
+    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
+
+
 def _tested(k: int, percent: int):
-    """The exact Jaccard test, for the pairs of a batch at once (shingles by 48 bits of hash)."""
+    """The exact Jaccard test (shingles by 48 bits of hash) of all pairs of each group; a spanning forest of links comes out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                n = batch.num_rows
-                x, y = _gram_keys(batch.column(2), k), _gram_keys(batch.column(3), k)
-                size = lambda keys: np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=n)
-                z = np.concatenate([x, y])
-                z.sort(kind="stable")
-                both = size(z[1:][z[1:] == z[:-1]])
-                yield batch.select([0, 1]).filter(pa.array(100 * both >= percent * (size(x) + size(y) - both)))
+        for cols, _ in _runs(batches, 1 << 30):
+            g, h1 = cols.column(0).to_numpy(zero_copy_only=False), cols.column(1).to_numpy(zero_copy_only=False)
+            lines = cols.column(2)
+            start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            size = np.diff(np.r_[start, len(g)])
+            two = start[size == 2]
+            ok = two[_pairs_linked(lines.take(pa.array(two)), lines.take(pa.array(two + 1)), k, percent)]
+            out = [(h1[ok], h1[ok + 1])]
+            for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                for at in _linked(_all_linked(lines.slice(a, n), k, percent)):
+                    out.append((np.full(len(at) - 1, h1[a + at[0]]), h1[a + at[1:]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i in (0, 1)], schema=schema)
 
     return run
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 32, k: int = 5, percent: int = 75, scratch: Scratch | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 32, k: int = 5, percent: int = 75, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(id, doc, line): every line that repeats, exactly or fuzzily, an earlier one.
 
     ``doc`` is a hash of the text that tells rows of one id apart; ``line``
@@ -279,44 +438,49 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     found = scratch.cut(docs.mapInArrow(_occurrences(shortest), "id long, doc long, line int, h1 long, h2 long"), "lines")
 
-    bands = docs.select("text").mapInArrow(_band_rows(shortest, k, BANDS, ROWS), "band long, h1 long")
-    w = Window.partitionBy("band").orderBy("h1")
-    # A line that several tasks saw stands once in a bucket.
-    bands = bands.withColumn("last", F.lag("h1").over(w)).where("last is null or last <> h1").select("band", "h1")
-    near = [F.lag("h1", i).over(w) for i in range(1, NEXT + 1)] + [F.first("h1").over(w)]
-    buckets = bands.select("band", "h1", F.array(*near).alias("others"), F.row_number().over(w).alias("at"), F.count("*").over(Window.partitionBy("band")).alias("size"))
-    buckets = scratch.cut(buckets.where("size > 1"), "buckets")
-    pairs = buckets.where("others[0] is not null").select("h1", F.explode(F.array_distinct("others")).alias("other"))
-    pairs = scratch.cut(pairs.where("other < h1").select(F.col("other").alias("a"), F.col("h1").alias("b")).distinct(), "pairs")
-
-    def linked(pairs):
-        bits = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("a").alias("h1")).union(pairs.select("b"))))
-        texts = docs.select("text").mapInArrow(_texts(shortest, bits), "h1 long, line string").dropDuplicates(["h1", "line"])
-        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        return scratch.cut(both.mapInArrow(_tested(k, percent), "a long, b long"), "links")
-
-    first = linked(pairs)
-    groups = scratch.cut(components(spark, first, scratch), "groups")
-    # Buckets of up to NEXT + 2 lines are tested whole; so are those of one component.
-    one = Window.partitionBy("band")
-    rest = buckets.where(F.col("size") > NEXT + 2).select("band", "h1", "at", "size").join(groups, F.col("h1") == F.col("id"), "left")
-    rest = rest.select("band", "h1", "at", F.coalesce("component", "h1").alias("comp"), F.expr(f"(at - 1) div {BLOCK}").alias("block"), F.expr(f"(size - 1) div {BLOCK}").alias("blocks"))
-    rest = scratch.cut(rest.withColumn("lo", F.min("comp").over(one)).withColumn("hi", F.max("comp").over(one)).where("lo <> hi").drop("lo", "hi"), "rest")
-    x = rest.select("band", "block", F.explode(F.expr("sequence(block, blocks)")).alias("other"), "h1", "at", "comp").alias("x")
-    y = rest.select("band", F.explode(F.expr("sequence(0L, block)")).alias("block"), F.col("block").alias("other"), "h1", "at", "comp").alias("y")
-    meet = " and ".join(f"x.{c} = y.{c}" for c in ("band", "block", "other")) + f" and x.comp <> y.comp and x.at > 1 and y.at - x.at > {NEXT}"
-    left = x.join(y, F.expr(meet)).select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct()
-    second = linked(scratch.cut(left, "pairs"))
-    comp = components(spark, first.union(second), scratch)
+    bands = docs.select("text").mapInArrow(_band_rows(shortest, k, BANDS, ROWS), "band long, h1 long, sketch long")
+    groups = bands.repartition("band").sortWithinPartitions("band", "h1").mapInArrow(_groups(ALIKE, block), "g long, h1 long, band long")
+    groups = scratch.cut(groups, "groups")
+
+    def linked(members: DataFrame) -> DataFrame:
+        """Links inside the groups (g, h1), on the whole lines."""
+        members = scratch.cut(members.distinct(), "members")
+        bits = spark.sparkContext.broadcast(_bitmap(members.select("h1").distinct()))
+        texts = docs.select("text").mapInArrow(_texts(shortest, bits), "h1 long, line string").dropDuplicates(["h1"])
+        held = members.join(texts, "h1").select("g", "h1", "line")
+        return scratch.cut(held.repartition("g").sortWithinPartitions("g", "h1").mapInArrow(_tested(k, percent), "a long, b long"), "links")
+
+    links = linked(groups.select("g", "h1"))
+    comp = scratch.cut(components(spark, links, scratch), "components")
+    long_buckets = groups.where("band is not null").select("band", "h1").distinct()
+    if not long_buckets.isEmpty():
+        one = Window.partitionBy("band")
+        rest = long_buckets.join(comp, F.col("h1") == F.col("id"), "left").select("band", "h1", F.coalesce("component", "h1").alias("comp"))
+        rest = rest.withColumn("lo", F.min("comp").over(one)).withColumn("hi", F.max("comp").over(one)).where("lo <> hi").select("band", "h1", "comp")
+        rest = rest.withColumn("block", F.expr(f"(row_number() over (partition by band order by comp, h1) - 1) div {block}"))
+        rest = scratch.cut(rest, "rest")
+        blocks = rest.groupBy("band", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        x, y = blocks.alias("x"), blocks.alias("y")
+        # Blocks within one and the same component need no test.
+        meet = x.join(y, F.expr("x.band = y.band and x.block <= y.block and not (x.lo = x.hi and x.lo = y.lo and y.lo = y.hi)"))
+        meet = meet.select("x.band", F.xxhash64("x.band", "x.block", "y.block").alias("g"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
+        links = links.union(linked(rest.join(meet, ["band", "block"]).select("g", "h1")))
+        comp = scratch.cut(components(spark, links, scratch), "components")
 
     # Exact copies share (h1, h2); fuzzy ones the smallest h1 of their component.
-    named = found.join(comp, found["h1"] == comp["id"], "left").select(found["id"], "doc", "line", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("c2"))
     place = F.struct("id", "doc", "line")
-    first = named.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return named.join(first, ["c1", "c2"]).where(place != F.col("first")).select("id", "doc", "line")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 32, k: int = 5, percent: int = 75) -> DataFrame:
+    texts = scratch.cut(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "texts")
+    named = texts.join(comp, F.col("h1") == F.col("id"), "left").select("h1", "h2", "first", "n", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("c2"))
+    named = scratch.cut(named, "named")
+    classes = named.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.sum("n").alias("total")).where("total > 1").drop("total")
+    answers = scratch.cut(join_unique(named.drop("first"), classes, ["c1", "c2"], hot=frequent(named, ["c1", "c2"])), "answers")
+    # Lines that stand very often are fewer than HOT, so they are broadcast and their rows stay where they are.
+    hot = answers.where(F.col("n") > found.count() // HOT).select("h1", "h2")
+    rows = join_unique(found, answers.select("h1", "h2", "first"), ["h1", "h2"], hot=hot)
+    return rows.where(place != F.col("first")).select("id", "doc", "line")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 32, k: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """``docs`` with its repeated lines taken out, and ``dropped_lines`` (long).
 
     Lines end at ``\\n``.  Of lines that are equal or whose sets of k-character
@@ -329,7 +493,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text.  All columns of ``docs`` are kept (one named dropped_lines is replaced); an empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession)
-    repeated = duplicate_lines(docs, id_col, text_col, shortest, k, percent, scratch)
+    repeated = duplicate_lines(docs, id_col, text_col, shortest, k, percent, block, scratch)
     per_doc = scratch.cut(repeated.groupBy("id", "doc").agg(F.array_sort(F.collect_set(F.col("line"))).alias("gone")), "gone")
     per_doc = per_doc.select(F.col("id").alias("__id"), F.col("doc").alias("__doc"), F.col("gone").alias("__gone"))
     at = docs[id_col].cast("long").eqNullSafe(per_doc["__id"]) & (F.xxhash64(docs[text_col]) == per_doc["__doc"])

@@ -11,7 +11,7 @@ import pytest
 from resolvent.llm import _vec
 from resolvent.llm._graph import components
 from resolvent.llm.embedding_dedup import similar_vectors
-from resolvent.llm.line_dedup import dedup_lines, op7_line_dedup, shingles, signatures
+from resolvent.llm.line_dedup import _once, _runs, dedup_lines, op7_line_dedup, shingles, signatures
 from resolvent.llm.ngram_join import _boundary, _prefix, ngram_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,6 +176,57 @@ def test_line_dedup_tests_all_pairs_of_a_bucket(spark):
     assert out.where("dropped_lines = 1").count() >= 298  # partners share a bucket but for a few in a thousand
 
 
+def families(seed, n=100, kinds=4):
+    """``kinds`` families of ``n`` near copies of one line each, at all distances up to about the threshold."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuvé") for _ in range(rng.randrange(2, 9)))
+    rows = []
+    for _ in range(kinds):
+        frame = [word() for _ in range(40)]
+        for _ in range(n):
+            line = list(frame)
+            for _ in range(rng.randrange(5)):
+                line[rng.randrange(len(line))] = word()
+            rows.append(" ".join(line))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_line_dedup_does_not_depend_on_the_layout_or_on_blocks(spark):
+    rows = families(2)
+    want = {i for i, t in brute_lines(rows).items() if t == ""}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [
+        {r["doc_id"] for r in dedup_lines(df.repartition(n), block=b).where("text = ''").collect()}
+        for n, b in ((1, 1000), (8, 1000), (48, 1000), (5, 30))
+    ]
+    assert got[0] == got[1] == got[2] == got[3]
+    assert len(got[0] & want) >= 0.99 * len(want) and got[0] <= want
+
+
+def test_runs_cut_sorted_batches():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for _ in range(30):
+        keys = sorted(rng.choice([1, 2, 3, 4, 5, 5, 5, 5]) for _ in range(rng.randrange(0, 60)))
+        rows = [(k, rng.randrange(3)) for k in keys]
+        rows.sort()
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(5))
+        batches = [pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in rows[a:b]], pa.int64()), "v": pa.array([r[1] for r in rows[a:b]], pa.int64())}) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        once = sorted(set(rows))
+        assert [tuple(r.values()) for b in _once(batches) for r in b.to_pylist()] == once
+        got, pieces = [], []
+        for cols, piece in _runs(batches, 7):
+            got += [tuple(r.values()) for r in cols.to_pylist()]
+            here = set(cols.column(0).to_pylist())
+            assert piece is None or len(here) == 1 and cols.num_rows <= 7
+            if piece is None:
+                assert not here & {k for k, _ in pieces}
+            pieces += [(k, piece) for k in here]
+        assert got == rows and len(set(pieces)) == len(pieces)
+
+
 def test_queries_take_short_lines(spark, tmp_path):
     import corpus_pipeline
 
