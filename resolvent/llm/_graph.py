@@ -78,18 +78,18 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None =
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
         least = scratch.cut(least, "least")
-        hop = join_unique(least, least.toDF("m", "r"), ["m"], hot=frequent(least, ["m"])).select("v", "r")
+        hop = join_unique(least, least.toDF("m", "r"), ["m"], hot=frequent(least, ["m"], scratch)).select("v", "r")
         hop = scratch.cut(hop, "hop")
         to = hop.select("v", "r")
         # A forest's edges point at their roots, which may be few.
-        moved = join_unique(edges, to.toDF("a", "ra"), ["a"], hot=frequent(edges, ["a"])).join(to.toDF("b", "rb"), "b").where("ra <> rb")
+        moved = join_unique(edges, to.toDF("a", "ra"), ["a"], hot=frequent(edges, ["a"], scratch)).join(to.toDF("b", "rb"), "b").where("ra <> rb")
         moved = moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         after = scratch.cut(moved.mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
         if labels is None:
             labels_after = hop
         else:
             labels_after = scratch.cut(
-                join_unique(labels, to.toDF("r", "r2"), ["r"], "left", frequent(labels, ["r"])).select("v", F.coalesce("r2", "r").alias("r")), "labels"
+                join_unique(labels, to.toDF("r", "r2"), ["r"], "left", frequent(labels, ["r"], scratch)).select("v", F.coalesce("r2", "r").alias("r")), "labels"
             )
             scratch.forget(labels)
             scratch.forget(hop)
@@ -100,4 +100,4 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None =
         return vertices.select("id", F.col("id").alias("component"))
     rooted = scratch.cut(vertices.join(labels, "v", "left").select("id", F.coalesce("r", "v").alias("r")), "rooted")
     smallest = rooted.groupBy("r").agg(F.min("id").alias("component"))
-    return join_unique(rooted, smallest, ["r"], hot=frequent(rooted, ["r"])).select("id", "component")
+    return join_unique(rooted, smallest, ["r"], hot=frequent(rooted, ["r"], scratch)).select("id", "component")

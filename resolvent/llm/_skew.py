@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
+
 #: A key is frequent if it holds more than a HOTth part of a table's rows, so fewer than HOT keys are.
 HOT = 1000
 #: Rows of a table up to which one task can hold all of it.
 LITTLE = 20_000
 
 
-def frequent(table: DataFrame, on: list[str]) -> DataFrame | None:
-    """The frequent keys of a written table (fewer than HOT rows); None if the table is small or has none."""
+def frequent(table: DataFrame, on: list[str], scratch: Scratch) -> DataFrame | None:
+    """The frequent keys of a written table (fewer than HOT rows, written); None if the table is small or has none."""
     total = table.count()
     if total <= LITTLE:
         return None
-    keys = table.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > total // HOT).select(*on).dropna()
-    rows = keys.collect()  # fewer than HOT
-    return table.sparkSession.createDataFrame(rows, keys.schema) if rows else None
+    keys = scratch.cut(table.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > total // HOT).select(*on).dropna().coalesce(1), "frequent")
+    return None if keys.isEmpty() else keys
 
 
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,59 +42,44 @@ BLANK = 32
 _FILL = V.stream(64, 31)
 
 
-def codepoints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of UTF-8 bytes, and where byte offsets stand among them."""
-    if not (raw & 0x80).any():
-        return raw.astype(np.uint32), offsets
-    cp = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    before = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw & 0xC0) != 0x80, out=before[1:])
-    return cp, before[offsets]
+#: Characters of lines that are worked on at once; a longer text is worked on alone.
+CHUNK = 1 << 18
+_SPACES = " \t\n\x0b\x0c\r"
 
 
-def _lines(texts: pa.Array, shortest: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, line number, start, end, bytes) of all lines of at least ``shortest`` characters but short blank ones."""
-    for first, raw, offs in V.chunks(texts):
-        if not len(raw):
+def codepoints(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all lines one after the other, and where each line begins (and the last ends)."""
+    offsets = np.zeros(len(lines) + 1, np.int64)
+    np.cumsum([len(x) for x in lines], out=offsets[1:])
+    return np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32), offsets
+
+
+def _lines(texts: pa.Array, shortest: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """(rows, line numbers, lines): all lines of at least ``shortest`` characters but short blank ones."""
+    rows: list[int] = []
+    numbers: list[int] = []
+    lines: list[str] = []
+    held = 0
+    for i, value in enumerate(texts):
+        text = value.as_py()
+        if not text:
             continue
-        breaks = np.flatnonzero(raw == 10)
-        row_of = np.searchsorted(offs, breaks, "right") - 1
-        starts = np.r_[offs[:-1], breaks + 1]
-        rows = np.r_[np.arange(len(offs) - 1), row_of]
-        order = np.lexsort((starts, rows))
-        starts, rows = starts[order], rows[order]
-        last = np.r_[rows[1:] != rows[:-1], True]
-        ends = np.where(last, offs[rows + 1], np.r_[starts[1:] - 1, 0])
-        head = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        number = np.arange(len(rows)) - np.repeat(head, np.diff(np.r_[head, len(rows)]))
-        size = ends - starts
-        more = (raw & 0xC0) == 0x80
-        if more.any():  # bytes that go on a character
-            before = np.zeros(len(raw) + 1, np.int32)
-            np.cumsum(more, out=before[1:])
-            size = size - (before[ends] - before[starts])
-        keep = size >= shortest
-        if shortest < BLANK:
-            seen = np.zeros(len(raw) + 1, np.int32)
-            np.cumsum((raw != 32) & ((raw < 9) | (raw > 13)), out=seen[1:])
-            keep &= (size >= BLANK) | (seen[ends] > seen[starts])
-        if keep.any():
-            yield first + rows[keep], number[keep], starts[keep], ends[keep], raw
-
-
-_SECOND = V.stream(256, 43)
-
-
-def _identity(raw: np.ndarray, s: np.ndarray, e: np.ndarray, both: bool = False):
-    """64 bits that name a line's text; with ``both`` 64 more, independent ones."""
-    h1 = V.signed(V.span_hash(raw, s, e))
-    if not both:
-        return h1
-    p, inv = V._power_table(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_SECOND[raw] * p[: len(raw)], out=sums[1:])
-    return h1, V.signed(V.mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64)))
+        for n, x in enumerate(text.split("\n")):
+            if len(x) >= shortest and (len(x) >= BLANK or x.strip(_SPACES)):
+                rows.append(i)
+                numbers.append(n)
+                lines.append(x)
+        held += len(text)
+        if held >= CHUNK and lines:
+            yield rows, numbers, lines
+            rows, numbers, lines, held = [], [], [], 0
+    if lines:
+        yield rows, numbers, lines
+
+
+def _identity(lines: list[str]) -> np.ndarray:
+    """128 bits (line, 2) that name a line's text."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64).reshape(-1, 2)
 
 
 def _occurrences(shortest: int):
@@ -101,10 +87,9 @@ def _occurrences(shortest: int):
 
     def run(batches):
         for batch in batches:
-            for rows, number, s, e, raw in _lines(batch.column(2), shortest):
-                h1, h2 = _identity(raw, s, e, True)
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2)], schema=schema)
+            for rows, numbers, lines in _lines(batch.column(2), shortest):
+                h, at = _identity(lines), pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], schema=schema)
 
     return run
 
@@ -146,20 +131,19 @@ def minhash(cp: np.ndarray, s: np.ndarray, e: np.ndarray, k: int, bins: int) ->
     np.minimum.at(sig, of.astype(np.int64) * bins + bin_, h)
     sig = sig.reshape(len(s), bins)
     lent_to = (sig == none).sum(axis=1)
-    poor = np.flatnonzero(lent_to)
-    if len(poor):
-        own = sig[poor]
-        got = own.copy()
-        for step in range(1, 64):
-            empty = got == none
-            if not empty.any():
-                break
-            # Each bin has a walk of its own, so borrowed values of two lines agree as often as their own do.
-            source = ((np.arange(bins, dtype=np.uint64) * np.uint64(2 * step + 1) + _FILL[step]) % np.uint64(bins)).astype(np.int64)
-            lent = own[:, source]
-            good = empty & (lent != none)
-            got[good] = lent[good] ^ np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
-        sig[poor] = got
+    left = np.flatnonzero(lent_to)  # lines that still have empty bins
+    own = sig[left]
+    for step in range(1, 64):
+        if not len(left):
+            break
+        # Each bin has a walk of its own, so borrowed values of two lines agree as often as their own do.
+        source = ((np.arange(bins, dtype=np.uint64) * np.uint64(2 * step + 1) + _FILL[step]) % np.uint64(bins)).astype(np.int64)
+        lent, got = own[:, source], sig[left]
+        good = (got == none) & (lent != none)
+        got[good] = lent[good] ^ np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
+        sig[left] = got
+        more = (got == none).any(axis=1)
+        left, own = left[more], own[more]
     return sig, lent_to
 
 
@@ -192,35 +176,22 @@ def _band_rows(shortest: int, k: int, bands: int, rows: int):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for _, _, s, e, raw in _lines(batch.column(0), shortest):
-                h1 = _identity(raw, s, e)
-                new = []
+            for _, _, lines in _lines(batch.column(0), shortest):
+                h1, new = _identity(lines)[:, 0], []
                 for i, h in enumerate(h1.tolist()):
                     if h not in seen:
                         if len(seen) < 300_000:
                             seen.add(h)
                         new.append(i)
-                at = np.array(new, np.int64)
-                if len(at):
-                    cp, ends = codepoints(raw, np.r_[s[at], e[at]])
-                    sig, lent_to = minhash(cp, ends[: len(at)], ends[len(at) :], k, bands * rows)
+                if new:
+                    cp, offs = codepoints([lines[i] for i in new])
+                    sig, lent_to = minhash(cp, offs[:-1], offs[1:], k, bands * rows)
                     key, bits = band_keys(sig, bands, rows), V.signed(sketches(sig, lent_to))
-                    yield pa.RecordBatch.from_arrays([pa.array(V.signed(key.ravel())), pa.array(np.repeat(h1[at], bands)), pa.array(np.repeat(bits, bands))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(V.signed(key.ravel())), pa.array(np.repeat(h1[new], bands)), pa.array(np.repeat(bits, bands))], schema=schema)
 
     return run
 
 
-def _once(batches):
-    """Sorted batches without rows whose first two columns equal the row before."""
-    last = None
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            new = np.r_[(a[0], b[0]) != last, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            last = (a[-1], b[-1])
-            yield batch if new.all() else batch.filter(pa.array(new))
-
-
 def _runs(batches, most: int):
     """(columns, piece): runs of equal values of the first column of sorted batches.
 
@@ -278,8 +249,12 @@ def _groups(alike: int, block: int):
 
     def run(batches):
         first = None
-        for cols, piece in _runs(_once(batches), block):  # a line that several tasks saw stands once in a bucket
+        for cols, piece in _runs(batches, block):
             band, h1, sketch = (cols.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.lexsort((h1, band))
+            band, h1, sketch = band[order], h1[order], sketch[order].view(np.uint64)
+            new = np.r_[True, (band[1:] != band[:-1]) | (h1[1:] != h1[:-1])]  # a line that several tasks saw stands once
+            band, h1, sketch = band[new], h1[new], sketch[new]
             if piece is not None:
                 g = V.mix(np.array([band[0], piece], np.int64).view(np.uint64)).sum(keepdims=True)
                 if piece == 0:
@@ -288,7 +263,6 @@ def _groups(alike: int, block: int):
                     yield rows(g, first)
                 yield rows(np.repeat(g, len(h1)), h1, band)
                 continue
-            sketch = sketch.view(np.uint64)
             start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
             size = np.diff(np.r_[start, len(band)])
             two = start[size == 2]
@@ -326,18 +300,17 @@ def _texts(shortest: int, bits):
     def run(batches):
         have, seen = bits.value, set()
         for batch in batches:
-            for _, _, s, e, raw in _lines(batch.column(0), shortest):
-                h1 = _identity(raw, s, e)
+            for _, _, lines in _lines(batch.column(0), shortest):
+                h1 = _identity(lines)[:, 0]
                 at = h1 & (len(have) * 32 - 1)
-                hit = np.flatnonzero((have[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
                 ids, out = [], []
-                for i in hit.tolist():
+                for i in np.flatnonzero((have[at >> 5] >> (at & 31).astype(np.uint32)) & 1).tolist():
                     h = int(h1[i])
                     if h not in seen:
                         if len(seen) < 50_000:
                             seen.add(h)
                         ids.append(h)
-                        out.append(raw[s[i] : e[i]].tobytes().decode("utf-8", "replace"))
+                        out.append(lines[i])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], schema=schema)
 
     return run
@@ -348,79 +321,99 @@ def shingles(text: str, k: int) -> set[str]:
     return {text[i : i + k] for i in range(max(1, len(text) - k + 1))}
 
 
-def _gram_keys(col: pa.Array, k: int) -> np.ndarray:
-    """Distinct (row, shingle) of a column as sorted 64-bit keys: 16 bits of row, 48 of the shingle's hash."""
-    out = []
-    for first, raw, offs in V.chunks(col):
-        cp, offs = codepoints(raw, offs)
-        size = np.diff(offs)
-        at, of = _spans(offs[:-1], np.maximum(size - k + 1, 1))
-        v = np.r_[cp, np.zeros(k, np.uint32)].astype(np.uint64)
-        if (size < k).any():  # a shorter line is its own shingle: nothing of the next line counts
-            ends = np.repeat(offs[1:], np.maximum(size - k + 1, 1))
-            h = sum((np.where(at + j < ends, v[at + j] + np.uint64(1), np.uint64(0)) * _ODD5[j] for j in range(k)), np.zeros(len(at), np.uint64))
-        else:
-            h = (v[: len(cp)] + np.uint64(1)) * _ODD5[0]
-            for j in range(1, k):
-                h += (v[j : len(cp) + j] + np.uint64(1)) * _ODD5[j]
-            h = h[at]
-        out.append(((of.astype(np.uint64) + np.uint64(first)) << np.uint64(48)) | (V.mix(h) >> np.uint64(16)))
-    keys = np.sort(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+def _grams(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of the shingles of every line, in order; hashes have 64 bits."""
+    cp, offs = codepoints(lines)
+    size = np.diff(offs)
+    at, of = _spans(offs[:-1], np.maximum(size - k + 1, 1))
+    v = np.r_[cp, np.zeros(k, np.uint32)].astype(np.uint64)
+    v += np.uint64(1)
+    if (size < k).any():  # a shorter line is its own shingle: nothing of the next line counts
+        ends = np.repeat(offs[1:], np.maximum(size - k + 1, 1))
+        h = sum((np.where(at + j < ends, v[at + j], np.uint64(0)) * _ODD5[j] for j in range(k)), np.zeros(len(at), np.uint64))
+    else:
+        h = v[: len(cp)] * _ODD5[0]
+        for j in range(1, k):
+            h += v[j : len(cp) + j] * _ODD5[j]
+        h = h[at]
+    return V.mix(h), of
 
 
 _ODD5 = V.stream(64, 53) | np.uint64(1)
 
 
-def _pairs_linked(x: pa.Array, y: pa.Array, k: int, percent: int) -> np.ndarray:
-    """Whether the lines of two columns link, row by row."""
-    out = []
-    for start in range(0, len(x), 1000):
-        a, b = _gram_keys(x.slice(start, 1000), k), _gram_keys(y.slice(start, 1000), k)
-        n = min(1000, len(x) - start)
-        size = lambda keys: np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=n)
-        z = np.concatenate([a, b])
-        z.sort(kind="stable")
-        both = size(z[1:][z[1:] == z[:-1]])
-        out.append(100 * both >= percent * (size(a) + size(b) - both))
-    return np.concatenate(out) if out else np.zeros(0, bool)
-
-
-def _all_linked(lines: pa.Array, k: int, percent: int) -> np.ndarray:
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]]
+
+
+def _few_linked(lines: list[str], start: np.ndarray, size: np.ndarray, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links, as rows, inside up to 1024 groups of up to FEW lines each, group after group."""
+    group = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(lines)) - np.repeat(start, size)
+    h, of = _grams(lines, k)
+    # 10 bits of group, 50 of shingle, 4 of line, so that equal shingles of a group stand together.
+    keys = _distinct((group.astype(np.uint64) << np.uint64(54))[of] | (h >> np.uint64(14) << np.uint64(4)) | place.astype(np.uint64)[of])
+    what, line = keys >> np.uint64(4), (keys & np.uint64(15)).astype(np.int64)
+    g = (keys >> np.uint64(54)).astype(np.int64)
+    n = np.bincount(g * FEW + line, minlength=len(size) * FEW)
+    both = np.zeros(len(size) * FEW * FEW, np.int64)
+    for d in range(1, FEW):
+        same = np.flatnonzero(what[d:] == what[:-d])
+        if not len(same):
+            break
+        both += np.bincount(g[same] * FEW * FEW + line[same] * FEW + line[same + d], minlength=len(both))
+    code = np.flatnonzero(both)
+    g, x, y = code // (FEW * FEW), code // FEW % FEW, code % FEW
+    ok = 100 * both[code] >= percent * (n[g * FEW + x] + n[g * FEW + y] - both[code])
+    return (start[g] + x)[ok], (start[g] + y)[ok]
+
+
+def _all_linked(lines: list[str], k: int, percent: int) -> np.ndarray:
     """The symmetric matrix of which lines link; shared shingles are counted by matrix products."""
-    keys, m = _gram_keys(lines, k), len(lines)
-    row = (keys >> np.uint64(48)).astype(np.int64)
-    size = np.bincount(row, minlength=m)
-    _, of, count = np.unique(keys & np.uint64((1 << 48) - 1), return_inverse=True, return_counts=True)
-    shared = count[of] > 1
-    row, column = row[shared], (np.cumsum(count > 1) - 1)[of[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+    h, of = _grams(lines, k)
+    m = len(lines)
+    sets = [_distinct(x) for x in np.split(h, np.flatnonzero(np.diff(of)) + 1)]
+    keys, size = np.concatenate(sets), np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(m), size)
+    order = np.argsort(keys, kind="stable")
+    keys, row = keys[order], row[order]
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    shared = ~new | np.r_[~new[1:], False]
+    row, column = row[shared], (np.cumsum(new & shared) - 1)[shared]
     both, width = np.zeros((m, m), np.float32), 4096
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [low, low + width])
-        x = np.zeros((m, min(width, int(column[b - 1]) - low + 1)), np.float32)
+        x = np.zeros((m, int(column[b - 1]) - low + 1), np.float32)
         x[row[a:b], column[a:b] - low] = 1
         both += x @ x.T
     np.fill_diagonal(both, 0)
     return 100 * both >= percent * (size[:, None] + size[None, :] - both)
 
 
+#: Lines of a group up to which many groups are tested at once.
+FEW = 16
+
+
 def _tested(k: int, percent: int):
-    """The exact Jaccard test (shingles by 48 bits of hash) of all pairs of each group; a spanning forest of links comes out."""
+    """The exact Jaccard test (on 50 bits or more of hashed shingles) of all pairs of each group; large groups give a spanning forest of links."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for cols, _ in _runs(batches, 1 << 30):
             g, h1 = cols.column(0).to_numpy(zero_copy_only=False), cols.column(1).to_numpy(zero_copy_only=False)
-            lines = cols.column(2)
+            lines = cols.column(2).to_pylist()
             start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             size = np.diff(np.r_[start, len(g)])
-            two = start[size == 2]
-            ok = two[_pairs_linked(lines.take(pa.array(two)), lines.take(pa.array(two + 1)), k, percent)]
-            out = [(h1[ok], h1[ok + 1])]
-            for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                for at in _linked(_all_linked(lines.slice(a, n), k, percent)):
+            out = [(h1[:0], h1[:0])]
+            few = np.flatnonzero((size > 1) & (size <= FEW))
+            for i in range(0, len(few), 1024):
+                s, n = start[few[i : i + 1024]], size[few[i : i + 1024]]
+                rows = np.concatenate([np.arange(a, a + m) for a, m in zip(s.tolist(), n.tolist(), strict=True)])
+                x, y = _few_linked([lines[j] for j in rows.tolist()], np.cumsum(n) - n, n, k, percent)
+                out.append((h1[rows[x]], h1[rows[y]]))
+            for a, n in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+                for at in _linked(_all_linked(lines[a : a + n], k, percent)):
                     out.append((np.full(len(at) - 1, h1[a + at[0]]), h1[a + at[1:]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i in (0, 1)], schema=schema)
 
@@ -439,7 +432,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = scratch.cut(docs.mapInArrow(_occurrences(shortest), "id long, doc long, line int, h1 long, h2 long"), "lines")
 
     bands = docs.select("text").mapInArrow(_band_rows(shortest, k, BANDS, ROWS), "band long, h1 long, sketch long")
-    groups = bands.repartition("band").sortWithinPartitions("band", "h1").mapInArrow(_groups(ALIKE, block), "g long, h1 long, band long")
+    groups = bands.repartition("band").sortWithinPartitions("band").mapInArrow(_groups(ALIKE, block), "g long, h1 long, band long")
     groups = scratch.cut(groups, "groups")
 
     def linked(members: DataFrame) -> DataFrame:
@@ -448,7 +441,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits = spark.sparkContext.broadcast(_bitmap(members.select("h1").distinct()))
         texts = docs.select("text").mapInArrow(_texts(shortest, bits), "h1 long, line string").dropDuplicates(["h1"])
         held = members.join(texts, "h1").select("g", "h1", "line")
-        return scratch.cut(held.repartition("g").sortWithinPartitions("g", "h1").mapInArrow(_tested(k, percent), "a long, b long"), "links")
+        return scratch.cut(held.repartition("g").sortWithinPartitions("g").mapInArrow(_tested(k, percent), "a long, b long"), "links")
 
     links = linked(groups.select("g", "h1"))
     comp = scratch.cut(components(spark, links, scratch), "components")
@@ -468,16 +461,21 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = scratch.cut(components(spark, links, scratch), "components")
 
     # Exact copies share (h1, h2); fuzzy ones the smallest h1 of their component.
-    place = F.struct("id", "doc", "line")
-    texts = scratch.cut(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "texts")
-    named = texts.join(comp, F.col("h1") == F.col("id"), "left").select("h1", "h2", "first", "n", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("c2"))
+    least = [F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("none"), F.count("*").alias("n")]
+    texts = found.groupBy("h1", "h2").agg(*least).withColumnRenamed("id", "least")
+    named = texts.join(comp, F.col("h1") == F.col("id"), "left").select("h1", "h2", "least", "none", "n", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("c2"))
     named = scratch.cut(named, "named")
-    classes = named.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.sum("n").alias("total")).where("total > 1").drop("total")
-    answers = scratch.cut(join_unique(named.drop("first"), classes, ["c1", "c2"], hot=frequent(named, ["c1", "c2"])), "answers")
+    classes = named.groupBy("c1", "c2").agg(F.min("least").alias("least"), F.max("none").alias("none"), F.sum("n").alias("total")).where("total > 1").drop("total")
+    answers = scratch.cut(join_unique(named.drop("least", "none"), classes, ["c1", "c2"], hot=frequent(named, ["c1", "c2"], scratch)), "answers")
     # Lines that stand very often are fewer than HOT, so they are broadcast and their rows stay where they are.
     hot = answers.where(F.col("n") > found.count() // HOT).select("h1", "h2")
-    rows = join_unique(found, answers.select("h1", "h2", "first"), ["h1", "h2"], hot=hot)
-    return rows.where(place != F.col("first")).select("id", "doc", "line")
+    rows = join_unique(found, answers.drop("n"), ["h1", "h2"], hot=hot)
+    # Rows of the first document of a class are told apart by text and line.
+    first = F.when(F.col("none"), F.col("id").isNull()).otherwise(F.col("id") == F.col("least"))
+    rows = scratch.cut(rows.select("id", "doc", "line", "c1", "c2", first.alias("first")), "rows")
+    inside = Window.partitionBy("c1", "c2").orderBy("doc", "line")
+    same = rows.where("first").withColumn("nth", F.dense_rank().over(inside)).where("nth > 1").select("id", "doc", "line")
+    return rows.where("not first").select("id", "doc", "line").union(same)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 32, k: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from resolvent.llm import _vec
 from resolvent.llm._graph import components
 from resolvent.llm.embedding_dedup import similar_vectors
-from resolvent.llm.line_dedup import _once, _runs, dedup_lines, op7_line_dedup, shingles, signatures
+from resolvent.llm.line_dedup import _runs, dedup_lines, op7_line_dedup, shingles, signatures
 from resolvent.llm.ngram_join import _boundary, _prefix, ngram_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -214,8 +214,6 @@ def test_runs_cut_sorted_batches():
         rows.sort()
         cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(5))
         batches = [pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in rows[a:b]], pa.int64()), "v": pa.array([r[1] for r in rows[a:b]], pa.int64())}) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
-        once = sorted(set(rows))
-        assert [tuple(r.values()) for b in _once(batches) for r in b.to_pylist()] == once
         got, pieces = [], []
         for cols, piece in _runs(batches, 7):
             got += [tuple(r.values()) for r in cols.to_pylist()]
