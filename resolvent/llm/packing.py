@@ -64,11 +64,11 @@ class Packer:
 
 def _pack(capacity: int, per_source: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "id", "h", "piece", "copy"], ascending=[False, True, True, True, True], kind="stable", na_position="first")
+        pdf = pdf.sort_values(["size", "none", "id", "h", "piece", "copy"], ascending=[False, False, True, True, True, True], kind="stable")
         sources, clusters = pd.factorize(pdf["source"], use_na_sentinel=False)[0], pd.factorize(pdf["cluster"])[0]
         packer = Packer(capacity, per_source)
         got = [packer.add(int(n), int(s), int(c)) for n, s, c in zip(pdf["size"], sources, clusters, strict=True)]
-        return pd.DataFrame({"shard": key[0], "id": pdf["id"].array, "piece": pdf["piece"].array, "size": pdf["size"].array, "source": pdf["source"].array, "cluster": pdf["cluster"].array, "bin": [x[0] for x in got], "start": [x[1] for x in got], "position": [x[2] for x in got]})
+        return pd.DataFrame({"shard": key[0], "id": pdf["id"].array, "none": pdf["none"].array, "piece": pdf["piece"].array, "size": pdf["size"].array, "source": pdf["source"].array, "cluster": pdf["cluster"].array, "bin": [x[0] for x in got], "start": [x[1] for x in got], "position": [x[2] for x in got]})
 
     return run
 
@@ -88,8 +88,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     bin.  The cluster is ``cluster_col`` or, without it (or where null), the
     text itself, so that exact copies never meet in a bin.  A null source is a
     source of its own.  A null, empty or blank text has one piece of 0 words.
-    Repeated rows are packed once each.  Other columns are not read; an empty
-    table gives an empty table.
+    A null id stays null.  Documents are taken by size, the largest first; ties
+    go by id (null first), text and piece.  Repeated rows are packed once each.
+    Other columns are not read; an empty table gives an empty table.
     """
     own = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
     cluster = own if cluster_col is None else F.coalesce(F.col(cluster_col).cast("string"), own)
@@ -100,14 +101,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = rows.withColumn("h", F.xxhash64("cluster")).withColumn("copy", F.monotonically_increasing_id())
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.expr(f"(n - 1) div {capacity}")).cast("long"))
     rows = rows.withColumn("piece", F.explode(pieces)).withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity))
-    whole = F.col("size") == capacity
     # Copies of one text and pieces of one document spread over the shards.
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "h", "piece"), F.lit(shards)))
-    out = "shard long, id long, piece long, size long, source string, cluster string, bin long, start long, position long"
-    packed = rows.select("shard", "id", "h", "copy", "piece", "size", "source", "cluster").groupBy("shard").applyInPandas(_pack(capacity, per_source), out)
-    del whole
+    # A null id travels as a flag: pandas would make doubles of a column of ids with nulls.
+    rows = rows.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
+    out = "shard long, id long, none boolean, piece long, size long, source string, cluster string, bin long, start long, position long"
+    packed = rows.select("shard", "id", "none", "h", "copy", "piece", "size", "source", "cluster").groupBy("shard").applyInPandas(_pack(capacity, per_source), out)
     bin_id = F.concat_ws("-", "shard", "bin")
-    return packed.select(F.col("id").alias(id_col), "piece", F.col("size").alias("n_words"), "source", "cluster", bin_id.alias("bin_id"), "start", "position")
+    return packed.select(F.when(~F.col("none"), F.col("id")).alias(id_col), "piece", F.col("size").alias("n_words"), "source", "cluster", bin_id.alias("bin_id"), "start", "position")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,52 @@ def test_pack(spark):
     assert pack(df.limit(0)).count() == 0
 
 
+def test_pack_keeps_ids_beside_null_ones(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b", "s"), (None, "c", "s"), (-5, "d e f", None)], "doc_id long, text string, source string")
+    assert sorted(((r["doc_id"], r["n_words"]) for r in pack(df).collect()), key=str) == sorted([(big, 2), (None, 1), (-5, 3)], key=str)
+
+
+def text_of(n, words=60):
+    return " ".join(f"t{n}w{i}" for i in range(words))
+
+
+def test_join_stage_loses_no_document(spark):
+    import corpus_pipeline as c
+
+    rows = [(None, text_of(1), "a"), (None, text_of(2), "a"), (None, text_of(3), "a"), (5, text_of(4), "a"), (5, text_of(5), "a"), (6, text_of(6), "a")]
+    schema = "doc_id long, text string, component_id string"
+    assert sorted(map(tuple, c.ngram_join(spark, spark.createDataFrame(rows, schema), "").collect()), key=str) == sorted(rows, key=str)
+    more = [(5, text_of(4), "b"), (5, text_of(4), "a"), (9, text_of(6), "a"), (None, None, "a"), (None, None, "a"), (7, "", "a"), (None, text_of(2) + " x", "a")]
+    got = [tuple(r) for r in c.ngram_join(spark, spark.createDataFrame(rows + more, schema), "").collect()]
+    texts = [t for _, t, _ in got if t]
+    near = [t for t in texts if t.startswith(text_of(2))]
+    assert len(texts) == 6 and len(near) == 1 and len(got) == 9
+    assert {t for t in texts if t not in near} == {text_of(n) for n in (1, 3, 4, 5, 6)}
+    assert [x for x in got if x[1] == text_of(4)] == [(5, text_of(4), "a")]
+    assert c.ngram_join(spark, spark.createDataFrame([], schema), "").count() == 0
+
+
+def test_stages_leave_other_columns_alone(spark, tmp_path):
+    import corpus_pipeline as c
+
+    names = ["size", "source_size", "target", "copies", "taken", "dropped_lines", "log_weight", "gumbel_key", "kept"]
+    rows = [(i, text_of(i, 80), "ab"[i % 2], *[100 * i + j for j in range(len(names))]) for i in range(12)]
+    rows += [(None, None, None, *range(9)), (3, rows[3][1], "b", *[7] * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = {tuple(r) for r in out.collect()}
+        if name == "line_dedup":
+            got = {(r[0], *r[2:]) for r in got}
+            assert got <= {(r[0], *r[2:]) for r in rows}, name
+        else:
+            assert got and got <= set(rows), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
