@@ -1,7 +1,7 @@
 """Operator 1: near-duplicate embeddings by iterative quantisation.
 
-A rotation learned on a bounded sample turns vectors into balanced 64-bit
-codes.  The code's four 16-bit chunks index multi-index Hamming tables: every
+Rotations learned on a bounded sample turn vectors into balanced 64-bit codes
+(one rotation, or several where vectors have fewer than 64 dimensions).  The code's four 16-bit chunks index multi-index Hamming tables: every
 vector is stored under its own chunks and asks for all chunks that differ in at
 most one bit, so a pair is missed only if each chunk differs in two bits or
 more.  Candidates within a Hamming radius are reranked with the original
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._scratch import Scratch
+from ._skew import HOT, join_unique
 
 #: Vectors that the rotation is learned from, at most; chosen by a hash of the vector.
 SAMPLE = 20_000
@@ -26,6 +27,12 @@ CHUNKS, WIDTH = 4, 16
 RADIUS = 20
 
 
+def learn_code(x: np.ndarray, bits: int = CHUNKS * WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) to ``bits`` signs, from as many rotations as that takes."""
+    learned = [learn_rotation(x, bits, seed=5 + i) for i in range(-(-bits // x.shape[1]))]
+    return learned[0][0], np.concatenate([p for _, p in learned], axis=1)[:, :bits]
+
+
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection): principal axes turned so that signs lose least (iterative quantisation)."""
     mean = x.mean(axis=0)
@@ -49,7 +56,7 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def _encode(model):
-    """Adds the code: bit i is the sign of the i-th rotated coordinate; other lengths than the model's get their own signs."""
+    """Adds the code: bit i is the sign of the i-th rotated coordinate; other lengths than the model's get signs of fixed random directions."""
     schema = pa.schema([("g", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("code", pa.int64())])
 
     def run(batches):
@@ -60,7 +67,7 @@ def _encode(model):
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = _matrix(batch.column(3).take(pa.array(at)), int(d))
-                v = (x - mean) @ proj if d == len(mean) else x[:, :64]
+                v = (x - mean) @ proj if d == len(mean) else x @ np.random.default_rng(int(d)).standard_normal((int(d), CHUNKS * WIDTH))
                 signs = (v >= 0).astype(np.uint64)
                 code[at] = (signs << np.arange(signs.shape[1], dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(code.view(np.int64))], schema=schema)
@@ -117,7 +124,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if not dims:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     fit = groups.where(F.col("dim") == dims[0]).orderBy("h1", "h2", "g").limit(sample).select("v").toArrow()  # the documented bound of the fit
-    model = spark.sparkContext.broadcast(learn_rotation(_matrix(fit.column("v").combine_chunks(), dims[0]), min(CHUNKS * WIDTH, dims[0])))
+    model = spark.sparkContext.broadcast(learn_code(_matrix(fit.column("v").combine_chunks(), dims[0])))
     codes = scratch.cut(groups.select("g", "label", "dim", "v").mapInArrow(_encode(model), "g long, label string, dim int, code long"), "codes")
 
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), _chunk(F.col("code"), t).alias("chunk")) for t in range(CHUNKS)])).alias("x")
@@ -141,8 +148,11 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = groups.select("g", "label", "dim", "h1", "h2", "least", "w").join(comp.withColumnRenamed("id", "g"), "g", "left").withColumn("root", F.coalesce("component", "g"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").join(count, "g", "left").select("label", "dim", "h1", "h2", "component_id", (F.col("w") - 1 + F.coalesce("met", F.lit(0))).alias("links"))
-    keyed = good.select("id", "fine", F.when(F.col("fine"), F.col("label")).alias("label"), *name[1:])
-    out = keyed.join(named, ["label", "dim", "h1", "h2"], "left")
+    # Vectors with very many copies (fewer than HOT) are answered by a broadcast; those that link with nothing meet none.
+    keys = ["label", "dim", "h1", "h2"]
+    hot = groups.where(F.col("w") > rows.count() // HOT).select(*keys)
+    out = join_unique(good.where("fine").select("id", *name), named, keys, "left", hot).select("id", "links", "component_id")
+    out = out.unionByName(good.where("not fine").select("id", F.lit(None).cast("long").alias("links"), F.lit(None).cast("long").alias("component_id")))
     root = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(False)).alias("kept"))
 

@@ -10,7 +10,8 @@ Any order gives exact results; this one keeps inverted lists short.
 * A heavy set is looked up in inverted lists of its prefix shingles; a pair
   with a heavy set shares enough of them for a counting bound.
 * The boundary is the size up to which the subsets cost fewer rows than the
-  lists, from the histogram of all set sizes and the mean list length.
+  lists, from the histogram of the sizes (up to 256, beyond which subsets never
+  pay) and the mean list length.
 
 Equal sets are one vertex, named by a 128-bit digest.  Long lists are first
 contracted around their member with the fewest shingles of its own, so a large
@@ -32,6 +33,7 @@ from pyspark.sql.window import Window
 from . import _vec as V
 from ._graph import components
 from ._scratch import Scratch
+from ._skew import frequent, join_unique
 
 #: Shingles whose place in the order reflects their count; more would only save time.
 FREQUENT = 1 << 16
@@ -248,8 +250,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a row without words has an empty set and is its own component.  Rows of one
     id are one vertex; a null id links through equal or similar text like any
     other and takes the smallest id of its component (null if there is none).
-    Other columns, of whatever name, are not read.  An empty table gives an
-    empty table.
+    Repeated rows give repeated results; a text of any length is one set.  Other
+    columns, of whatever name, are not read.  An empty table gives an empty
+    table.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -316,8 +319,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     final = scratch.cut(final, "components")
 
     classes = sole.join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    known = F.when(F.col("n") > 0, F.col("d1")).alias("d1"), F.when(F.col("n") > 0, F.col("d2")).alias("d2")
-    out = profile.select("id", "n", *known).join(classes, ["d1", "d2"], "left")
+    # Sets with many copies are answered by a broadcast; a document without words meets none.
+    full = profile.where("n > 0")
+    out = join_unique(full, classes, ["d1", "d2"], "left", frequent(full, ["d1", "d2"], scratch)).select("id", "n", "component_id")
+    out = out.unionByName(profile.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

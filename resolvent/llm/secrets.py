@@ -15,19 +15,22 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
+
 # The strong patterns.
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs, so that asking for 24 in the pattern finds what filtering runs would.
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-IDENT = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+IDENT = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,}(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"https?://[^\x00-\x20\"'<>]{4,}")
 
 KINDS = ("assign", "access", "hex", "ident", "secret", "endpoint")
@@ -72,7 +75,8 @@ def link_parts(text: str, strong: list[tuple[int, int, str]], reach: int) -> lis
 
     A part's interval is its span widened by ``reach`` on both sides, cut at the
     scope (a stretch without an empty line).  An identifier needs a secret
-    within its interval, a secret an identifier, an endpoint both.  Candidates
+    whose span reaches into its interval, a secret an identifier, an endpoint
+    both; a part that overlaps the candidate itself does not count.  Candidates
     that overlap a strong span are that span and not reported again.
     """
     weak = weak_spans(text)
@@ -97,17 +101,22 @@ def link_parts(text: str, strong: list[tuple[int, int, str]], reach: int) -> lis
     by_role: dict[str, list[tuple[int, int]]] = {"ident": [], "secret": [], "endpoint": []}
     for a, b, kind in parts:
         by_role[ROLE[kind]].append((a, b))
-    starts = {r: sorted(a for a, _ in x) for r, x in by_role.items()}
+    # Spans by start, with the furthest end so far: those that begin before a point and reach another are found from the back.
+    held = {r: sorted(x) for r, x in by_role.items()}
+    starts = {r: [a for a, _ in x] for r, x in held.items()}
+    furthest = {r: list(accumulate((b for _, b in x), max)) for r, x in held.items()}
 
     def meets(a: int, b: int, role: str) -> bool:
+        """Whether a span of the role overlaps this span's interval, but not the span itself."""
         at = bisect_right(breaks, a)
         low = max(a - reach, breaks[at - 1] if at else 0)
         high = min(b + reach, breaks[at] if at < len(breaks) else len(text))
-        i = bisect_left(starts[role], low)
-        while i < len(starts[role]) and starts[role][i] < high:
-            if not a <= starts[role][i] < b:
+        i = bisect_left(starts[role], high) - 1
+        while i >= 0 and furthest[role][i] > low:
+            x, y = held[role][i]
+            if y > low and (y <= a or x >= b):
                 return True
-            i += 1
+            i -= 1
         return False
 
     return [x for x in weak if all(meets(x[0], x[1], r) for r in NEEDS[ROLE[x[2]]])]
@@ -148,7 +157,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     x = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = x.mapInArrow(_scan(reach, 1), "id long, n_assign long, n_access long, n_hex long, base string, spans string")
-    return out.withColumnRenamed("id", id_col)
+    # Written here, with few texts at once in a Python worker.
+    return Scratch(docs.sparkSession).cut(out, "spans").withColumnRenamed("id", id_col)
 
 
 def digest(spans: str) -> str:

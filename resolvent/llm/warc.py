@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._scratch import Scratch
+from ._skew import HOT, frequent, join_unique
 
 MAGIC = "WARC/1.0\r\n"
 #: Payloads of fewer bytes are never revisits.
@@ -42,14 +43,22 @@ def decide_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """(id, url, payload, bytes, digest, kind, refers): what each page is written as.
 
     A group of equal payloads is reduced to its smallest id before it is joined,
-    so a payload with many copies costs one row per task.
+    and payloads with very many copies are answered by a broadcast.  A null
+    payload is empty, a null id is written without a record id and is never the
+    smallest; rows of one id are records of their own, and of equal ones all but
+    those with the smallest id revisit it.  Other columns are not read; an empty
+    table gives an empty table.
     """
+    scratch = Scratch(pages.sparkSession)
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     x = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     x = x.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     first = x.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    first = Scratch(pages.sparkSession).cut(first.select("digest", "first"), "copies")
-    x = x.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "digest", "left")
+    first = scratch.cut(first.select("digest", "first", "n"), "copies")
+    if first.count() <= BROADCAST_ROWS:
+        x = x.join(F.broadcast(first.drop("n")), "digest", "left")
+    else:  # fewer than HOT payloads hold more than a HOTth part of the pages each
+        x = join_unique(x, first.drop("n"), ["digest"], "left", first.where(F.col("n") > pages.count() // HOT).select("digest"))
     again = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
     return x.select("id", "url", "payload", "bytes", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers"))
 
@@ -190,11 +199,15 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch | None = None
     return x.select("id", "url", "kind", "refers", F.col("said").alias("digest"), F.when(F.col("kind") == "response", F.col("payload")).alias("payload"))
 
 
-def resolved(index: DataFrame) -> DataFrame:
+def resolved(index: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, bytes, digest, kind, refers): revisits take bytes and digest from the response they refer to."""
+    scratch = scratch or Scratch(index.sparkSession)
+    index = scratch.cut(index.select("id", "kind", "refers", "said", "bytes", "digest"), "index")
     answers = index.where("kind = 'response'").groupBy(F.col("id").alias("rid"), F.col("digest").alias("rdigest")).agg(F.max("bytes").alias("rbytes"))
-    again = index.where("kind = 'revisit'").join(answers, (F.col("refers") == F.col("rid")) & (F.col("said") == F.col("rdigest")))
-    again = again.select("id", F.col("rbytes").alias("bytes"), F.col("rdigest").alias("digest"), "kind", "refers")
+    answers = answers.select(F.col("rid").alias("refers"), F.col("rdigest").alias("said"), "rbytes")
+    again = scratch.cut(index.where("kind = 'revisit'").select("id", "kind", "refers", "said"), "revisits")
+    again = join_unique(again, answers, ["refers", "said"], hot=frequent(again, ["refers", "said"], scratch))
+    again = again.select("id", F.col("rbytes").alias("bytes"), F.col("said").alias("digest"), "kind", "refers")
     return index.where("kind = 'response'").select("id", "bytes", "digest", "kind", "refers").union(again)
 
 
@@ -202,7 +215,7 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     path = scratch.path("warc")
     write_archives(decide_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    out = resolved(archive_index(spark, path, scratch))
+    out = resolved(archive_index(spark, path, scratch), scratch)
     return out.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
 
 

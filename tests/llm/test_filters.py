@@ -1,6 +1,7 @@
 """Secrets, URLs, WARC, quality rules and the classifier against plain versions."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -53,6 +54,48 @@ def test_weak_parts_need_company(spark):
     assert secrets.digest("") == hashlib.sha256(b"").hexdigest()
 
 
+def plain_linked(text, reach):
+    """The interval join by comparing all parts with all."""
+    strong = secrets.strong_spans(text)
+    weak = [x for x in secrets.weak_spans(text) if not any(x[0] < b and a < x[1] for a, b, _ in strong)]
+    breaks = [m.start() for m in re.finditer(r"\n\s*\n", text)]
+    out = []
+    for a, b, kind in weak:
+        low = max([a - reach, 0, *(x for x in breaks if x <= a)])
+        high = min([b + reach, len(text), *(x for x in breaks if x > a)])
+        near = {secrets.ROLE[k] for x, y, k in strong + weak if x < high and y > low and (y <= a or x >= b)}
+        if all(r in near for r in secrets.NEEDS[secrets.ROLE[kind]]):
+            out.append((a, b, kind))
+    return sorted(out)
+
+
+def test_linked_parts_match_a_plain_join():
+    rng = random.Random(4)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    make = [
+        lambda: "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(rng.choice([16, 20, 33, 60]))),
+        lambda: "".join(rng.choice(alnum) for _ in range(rng.choice([20, 40, 129, 300]))),
+        lambda: "https://h.example/" + "".join(rng.choice(alnum) for _ in range(rng.choice([3, 40]))),
+        lambda: "AKIA" + "".join(rng.choice("ABCDEF123") for _ in range(16)),
+        lambda: "token=" + "x" * rng.choice([6, 250]), lambda: "0123456789abcdef" * 2, lambda: "\n \n",
+    ]
+    linked = 0
+    for _ in range(400):
+        text = "".join(rng.choice(make)() + rng.choice([" ", "\n", " word" * rng.randrange(60), "é "]) for _ in range(rng.randrange(1, 9)))
+        got = sorted(secrets.link_parts(text, secrets.strong_spans(text), 200))
+        assert got == plain_linked(text, 200), text
+        linked += len(got)
+    assert linked > 300
+
+
+def test_long_texts_and_long_parts(spark):
+    key, sec = "A1" * 40, "aB3dE6gH9jK2mN5pQ8" * 20
+    text = "word " * 40_000 + f"{key} {sec} " + "word " * 40_000
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text), (1, text), (None, key)], "doc_id long, text string")).collect()
+    at = 200_000
+    assert sorted((r["doc_id"] or 0, r["spans"]) for r in got) == [(0, ""), *[(1, f"ident:{at}:{at + 80},secret:{at + 81}:{at + 441}")] * 2]
+
+
 def test_secret_scan_empty(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -10,7 +10,7 @@ import pytest
 
 from resolvent.llm import _vec
 from resolvent.llm._graph import components
-from resolvent.llm.embedding_dedup import similar_vectors
+from resolvent.llm.embedding_dedup import learn_code, similar_vectors
 from resolvent.llm.line_dedup import _runs, dedup_lines, op7_line_dedup, shingles, signatures
 from resolvent.llm.ngram_join import _boundary, _prefix, ngram_components
 
@@ -287,6 +287,15 @@ def test_embeddings_recall_against_brute_force(spark):
     assert got[9008]["component_id"] == 9007 and got[9007]["n_links"] == 1
 
 
+def test_short_vectors_get_full_codes():
+    x = np.random.default_rng(1).standard_normal((500, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean, proj = learn_code(x)
+    signs = (x - mean) @ proj >= 0
+    assert signs.shape == (500, 64)
+    assert len(np.unique(signs[:, :16] @ (1 << np.arange(16)))) > 50  # a chunk tells vectors apart
+
+
 def test_embeddings_empty_and_repeated(spark):
     schema = "vec_id long, embedding array<float>, label int, v int"
     assert similar_vectors(spark.createDataFrame([], schema)).count() == 0
