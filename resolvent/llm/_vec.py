@@ -108,13 +108,18 @@ def cut_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each byte span that does not depend on where it stands."""
+def span_hashes(raw: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Hashes of several lists of byte spans (starts, ends) that do not depend on where a span stands."""
     p, inv = _power_table(len(raw) + 1)
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[raw] * p[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    return [mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64)) for starts, ends in spans]
+
+
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each byte span that does not depend on where it stands."""
+    return span_hashes(raw, [(starts, ends)])[0]
 
 
 _GRAM = stream(16, 13) | U(1)

@@ -3,18 +3,19 @@
 Two generative models of hashed n-grams are compared: of the target (labelled
 rows that are good) and of the raw text (all documents).  A document's weight
 is the sum over its n-grams of log(target / raw); Gumbel top-k draws documents
-without replacement in proportion to the weights, with k the number of
-documents whose weight is not negative (the cuts are fitted on labelled rows).
+without replacement in proportion to the weights, with k a parameter or the
+number of documents whose weight is not negative (the cuts from which weights
+are measured are fitted on labelled rows).
 
 Two such ratios are taken.  The first is over words, word pairs, word shapes
 (runs of character classes), shape pairs and a marker for a word that repeats
 the one before; the shapes carry what a hashed word alone cannot, such as
 shouting or stray symbols.  It grows with the text, so the few words that make a
 text unfit would drown in it; the second is over words without their
-punctuation and adds up only those that good text all but lacks.  The weight is
-the smaller of the two, each measured from its cut.  Buckets whose two rates do
-not differ significantly weigh nothing, so that rare words of clean text do not
-add up to noise.
+punctuation, and their beginnings (which words of one stem share), and adds up
+only those that good text all but lacks.  The weight is the smaller of the two,
+each measured from its cut.  Buckets whose two rates do not differ significantly
+weigh nothing, so that rare words of clean text do not add up to noise.
 """
 
 from __future__ import annotations
@@ -33,10 +34,14 @@ MAX_LABELLED = 50_000
 LOG_BUCKETS, LOG_CORE = 18, 20
 #: Pseudo-counts that pull a bucket's target rate to its raw rate.
 PRIOR, PRIOR_CORE = 5.0, 2.0
-#: Log ratio under which a word counts as one that good text lacks.
-LACKS = -2.5
+#: Log ratio under which a word or beginning counts as one that good text lacks.
+LACKS = -1.5
 #: Standard errors by which a bucket's rates differ to count.
 SIGNIFICANT = 4.0
+#: Bytes of the beginnings of longer words.
+STEMS = (4, 5, 6)
+#: Rejected rows that a cut may let through to keep one good row (as shares of both).
+KEEP = 3.0
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[:] = 4
@@ -45,10 +50,11 @@ _CLASS[ord("A") : ord("Z") + 1] = 2
 _CLASS[ord("0") : ord("9") + 1] = 3
 _CLASS[128:] = 1
 _SALT = V.stream(8, 91) | np.uint64(1)
+_STEM = V.stream(32, 177) | np.uint64(1)
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, log_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of every n-gram of the rows; words without punctuation come in buckets of their own, behind the others."""
+    """(bucket, row) of every n-gram of the rows; words without punctuation, and their beginnings, come in buckets of their own, behind the others."""
     s, e, r = V.cut_words(raw, offsets)
     if not len(s):
         z = np.zeros(0, np.int64)
@@ -68,8 +74,11 @@ def features(raw: np.ndarray, offsets: np.ndarray, log_buckets: int) -> tuple[np
     rows = np.concatenate([r, r[1:][same], r, r[1:][same], r[1:][again]])
     bare = np.where(cls == 4, np.uint8(0x20), lower)
     cs, ce, cr = V.cut_words(bare, offsets)
-    core = (V.mix(V.span_hash(bare, cs, ce)) >> np.uint64(64 - LOG_CORE)).astype(np.int64) + (1 << log_buckets)
-    return np.concatenate([(hashes >> np.uint64(64 - log_buckets)).astype(np.int64), core]), np.concatenate([rows, cr])
+    longer = [ce - cs > n for n in STEMS]
+    hashed = V.span_hashes(bare, [(cs, ce), *[(cs[at], cs[at] + n) for at, n in zip(longer, STEMS, strict=True)]])
+    core = np.concatenate([V.mix(hashed[0]), *[V.mix(h * _STEM[n]) for h, n in zip(hashed[1:], STEMS, strict=True)]])
+    core = (core >> np.uint64(64 - LOG_CORE)).astype(np.int64) + (1 << log_buckets)
+    return np.concatenate([(hashes >> np.uint64(64 - log_buckets)).astype(np.int64), core]), np.concatenate([rows, cr, *[cr[at] for at in longer]])
 
 
 def _counts(log_buckets: int):
@@ -135,34 +144,36 @@ def _scores(weights, log_buckets: int, text: bool = False):
 
 
 def _cut(score: np.ndarray, good: np.ndarray) -> float:
-    """The cut that makes the sum of both classes' rates largest, moved to the middle of its gap."""
+    """The cut that makes the share of rejected rows under it, less KEEP times that of good ones, largest; in the middle of its gap."""
     if not len(good) or good.all() or not good.any():
         return -1e300
     order = np.argsort(score, kind="stable")
     s, g = score[order], good[order]
     lost = np.r_[0, np.cumsum(g)] / g.sum()
     caught = np.r_[0, np.cumsum(~g)] / (~g).sum()
-    gain = caught - lost
-    gain[1:-1][s[1:] == s[:-1]] = -1
+    gain = caught - KEEP * lost
+    gain[1:-1][s[1:] == s[:-1]] = -KEEP
     i = int(np.argmax(gain))
     if i == 0:
         return -1e300
     return float(s[i - 1] + s[i]) / 2 if i < len(s) else float(s[-1]) + 1
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "good", seed: int = 7, temperature: float = 0.25, max_labelled: int = MAX_LABELLED, log_buckets: int = LOG_BUCKETS, with_text: bool = True) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "good", seed: int = 7, k: int | None = None, max_labelled: int = MAX_LABELLED, log_buckets: int = LOG_BUCKETS, with_text: bool = True) -> DataFrame:
     """``docs`` with ``log_weight`` (double), ``gumbel_key`` (double) and ``kept`` (boolean).
 
     ``labels`` has ``id_col`` and a boolean ``good_col``; of an id labelled both
     ways the row is not good, and null labels are not read.  The target model
     and the cut take ``max_labelled`` rows at most (smallest hashes of the id);
     the raw model and the scores take all documents.  ``gumbel_key`` is
-    log_weight + temperature * Gumbel(seed, id, text); the k largest keys are
-    kept, k the number of weights of 0 or more.  ``kept`` is decided by
-    the k-th key itself: ties with it are all kept.  A null or empty text weighs
-    0 and is judged like any other; ``with_text`` false leaves the text out of the result.  With no labelled row of either class, all
-    are kept.  Columns of ``docs`` named like the new ones are replaced; an
-    empty table gives an empty table.
+    log_weight + Gumbel(seed, id, text); the ``k`` largest keys are kept, by
+    default as many as there are weights of 0 or more.  ``kept`` is decided by
+    the k-th key itself: ties with it, and so repeated rows, are all kept.  A
+    null or empty text weighs 0 and is judged like any other, a null id has no
+    label; whole texts are read, of any length.  ``with_text`` false leaves the
+    text out of the result.  With no labelled row of either class, all are kept.
+    Columns of ``docs`` named like the new ones are replaced; an empty table
+    gives an empty table.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -175,7 +186,10 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sure = sure.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(max_labelled)  # the documented bound of the fit
     sure = scratch.cut(sure, "labels")
     mine = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    mine = mine.join(F.broadcast(sure), "__id").select("__good", "__text")  # at most max_labelled short rows
+    mine = mine.join(F.broadcast(sure), "__id")  # at most max_labelled short rows
+    # An id that stands on several rows is read from one of them, that with the smallest text.
+    mine = mine.groupBy("__id", "__good").agg(F.min("__text").alias("__text")).select("__good", "__text")
+    mine = scratch.cut(mine, "labelled")
     weights = model(_vector(mine.where("__good").select("__text"), log_buckets), raw, log_buckets)
     sent = spark.sparkContext.broadcast(weights)
     sums = "w_all double, w_core double"
@@ -195,12 +209,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     keyed = docs.select(*who, F.col(text_col).cast("string").alias("__text"))
     shape = f"__row {keyed.schema['__row'].dataType.simpleString()}, __id long, __h long, {'__text string, ' if with_text else ''}{sums}"
     scored = keyed.mapInArrow(_scores(sent, log_buckets, with_text), shape).withColumn("log_weight", weight)
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    slim = slim.mapInArrow(_scores(sent, log_buckets), f"__id long, __h long, {sums}").withColumn("log_weight", weight)
-    keys = scratch.cut(slim.select("log_weight", (F.col("log_weight") + temperature * gumbel).alias("key")), "keys")
-    k = keys.where("log_weight >= 0").count()
-    floor = kth_largest(keys, "key", k)
-    key = F.col("log_weight") + temperature * gumbel
+    key = F.col("log_weight") + gumbel
+    if with_text:  # the texts are scored again rather than written
+        slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+        slim = slim.mapInArrow(_scores(sent, log_buckets), f"__id long, __h long, {sums}").withColumn("log_weight", weight)
+        keys = scratch.cut(slim.select("log_weight", key.alias("key")), "keys")
+    else:
+        scored = scratch.cut(scored, "scored")
+        keys = scored.select("log_weight", key.alias("key"))
+    floor = kth_largest(keys, "key", keys.where("log_weight >= 0").count() if k is None else k)
     names = [F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns if with_text or c != text_col]
     return scored.select(*names, "log_weight", key.alias("gumbel_key"), (key >= F.lit(floor)).alias("kept"))
 

@@ -1,13 +1,15 @@
 """Secrets, URLs, WARC, quality rules and the classifier against plain versions."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from resolvent.llm import secrets, url_filter, warc
+from resolvent.llm import importance, secrets, url_filter, warc
 from resolvent.llm.host_rules import rule_verdicts
 from resolvent.llm.importance import kth_largest, log_ratio, resample
 
@@ -231,6 +233,80 @@ def test_classifier_separates_held_out_text(spark):
     assert resample(df.limit(0), spark.createDataFrame(known, "doc_id long, good boolean")).count() == 0
 
 
+def plain_features(text):
+    """The n-grams of a text as tuples: those of the first ratio, and those of the second."""
+    kind = lambda b: 1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4
+    low = lambda b: bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    words = [w.encode() for w in WORD.findall(text or "")]
+    shape = [tuple(k for i, k in enumerate(map(kind, w)) if i == 0 or k != kind(w[i - 1])) for w in words]
+    words = [low(w) for w in words]
+    first = [("w", w) for w in words] + [("s", x) for x in shape] + [("again",) for a, b in zip(words, words[1:]) if a == b]
+    first += [("p", *x) for x in zip(words, words[1:])] + [("t", *x) for x in zip(shape, shape[1:])]
+    bare = [w for w in bytes(low(bytes([c]))[0] if kind(c) < 4 else 32 for c in (text or "").encode()).split(b" ") if w]
+    return first, [("w", w) for w in bare] + [(n, w[:n]) for n in importance.STEMS for w in bare if len(w) > n]
+
+
+def plain_weights(texts, labels):
+    """log_weight of every text, with models in dictionaries and cuts by trying all."""
+    parts = [plain_features(t) for t in texts]
+    sums = []
+    for which, prior in ((0, importance.PRIOR), (1, importance.PRIOR_CORE)):
+        raw, target = Counter(), Counter()
+        for i, p in enumerate(parts):
+            raw.update(p[which])
+            if labels.get(i):
+                target.update(p[which])
+        scale, weight = sum(target.values()) / sum(raw.values()), {}
+        for f, n in raw.items():
+            e = n * scale
+            w = math.log((target[f] + prior) / (e + prior)) if abs(target[f] - e) >= importance.SIGNIFICANT * math.sqrt(max(e, 1)) else 0.0
+            weight[f] = w if which == 0 or w < importance.LACKS else 0.0
+        sums.append([sum(weight[f] for f in p[which]) for p in parts])
+
+    def cut(rows, score):
+        values = sorted({score[i] for i in rows})
+        best = (0.0, -1e300)
+        good = [i for i in rows if labels[i]]
+        bad = [i for i in rows if not labels[i]]
+        if not good or not bad:
+            return -1e300
+        for a, b in zip(values, [*values[1:], values[-1] + 2]):
+            c = (a + b) / 2
+            gain = sum(score[i] < c for i in bad) / len(bad) - importance.KEEP * sum(score[i] < c for i in good) / len(good)
+            if gain > best[0] + 1e-12:
+                best = (gain, c)
+        return best[1]
+
+    rows = list(labels)
+    first = cut(rows, sums[0])
+    second = cut([i for i in rows if sums[0][i] >= first], sums[1])
+    return [min(a - first, b - second) for a, b in zip(*sums)]
+
+
+def test_resampling_matches_a_plain_version(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(["an", "ed", "the", "ou", "st", "é"]) for _ in range(rng.randrange(1, 4)))
+    texts = [" ".join(word() for _ in range(120)) for _ in range(120)]
+    texts += [" ".join(word() + rng.choice(["###", "$$$", "!A"]) for _ in range(60)) for _ in range(40)]
+    texts += [" ".join([word() for _ in range(100)] + ["Scumbag" + word(), "scumlike,"] * 3) for _ in range(40)] + [None, "", "the the THE"]
+    texts += texts[:1]
+    labels = {i: i < 120 for i in range(0, 200, 2)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, g) for i, g in labels.items()] + [(3, None)], "doc_id long, good boolean")
+    out = {r["doc_id"]: r for r in resample(df, known, log_buckets=23).collect()}
+    want = plain_weights(texts, labels)
+    same = [abs(out[i]["log_weight"] - w) < 1e-3 for i, w in enumerate(want)]
+    assert sum(same) >= 0.99 * len(same)  # hashed n-grams may meet
+    keys = sorted((r["gumbel_key"] for r in out.values()), reverse=True)
+    k = sum(r["log_weight"] >= 0 for r in out.values())
+    assert {i for i, r in out.items() if r["kept"]} == {i for i, r in out.items() if r["gumbel_key"] >= keys[k - 1]}
+    assert sum(r["kept"] for r in resample(df, known, k=17).collect()) == 17
+    g = np.array([r["gumbel_key"] - r["log_weight"] for r in out.values()])
+    assert abs(g.mean() - 0.5772) < 0.35 and abs(g.std() - 1.2825) < 0.35
+    twice = resample(df.union(df), known).where("kept").groupBy("doc_id").count().collect()
+    assert twice and all(r["count"] == 2 for r in twice)  # repeated rows tie
+
+
 def test_kth_largest(spark):
     x = [3.0, -1.0, 3.0, 8.5, 0.0, 2.0, 1e-9]
     df = spark.createDataFrame([(v,) for v in x], "x double")
