@@ -18,7 +18,7 @@ def frequent(table: DataFrame, on: list[str], scratch: Scratch) -> DataFrame | N
     total = table.count()
     if total <= LITTLE:
         return None
-    keys = scratch.cut(table.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > total // HOT).select(*on).dropna().coalesce(1), "frequent")
+    keys = scratch.cut(table.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > total // HOT).select(*on).dropna(), "frequent")
     return None if keys.isEmpty() else keys
 
 
