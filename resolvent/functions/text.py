@@ -295,9 +295,13 @@ def char_grams(c: Column, n: int) -> Column:
 def padded_grams(c: Column, low: int, high: int) -> Column:
     """Character n-grams of low to high characters inside words padded by a space (with repeats)."""
 
+    def grams(p: Column, n: int) -> Column:
+        # A second parameter of the lambda would be the position in the sequence.
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: p.substr(i, F.lit(n)))
+
     def word(t: Column) -> Column:
         p = F.concat(F.lit(" "), t, F.lit(" "))
-        return F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i, n=n: p.substr(i, F.lit(n))) for n in range(low, high + 1)]))
+        return F.flatten(F.array(*[grams(p, n) for n in range(low, high + 1)]))
 
     return F.flatten(F.transform(tokens(c), word))
 

@@ -34,12 +34,15 @@ def capped(df: DataFrame, keys: list[str], by: str, cap: int) -> DataFrame:
 
 
 def token_block(left: DataFrame, right: DataFrame, left_tokens: Column, right_tokens: Column, always: list[str], cap: int, take: int, left_id: str = "s1_id", right_id: str = "target_id", shortest: int = 1) -> DataFrame:
-    """Pairs that share a word: ``right`` is an index of at most ``cap`` postings a word, a left record takes ``take`` of each word's."""
+    """Pairs that share a word: ``right`` is an index of at most ``cap`` postings a word, a left record takes ``take`` of each word's.
+
+    Both are the first by id, so the index holds no more than the smaller of the
+    two and the join makes no row that the cut would take away.
+    """
     index = right.select(right_id, *always, F.explode(F.array_distinct(right_tokens)).alias("token")).where(F.length("token") >= shortest)
-    index = capped(index, [*always, "token"], right_id, cap)
+    index = capped(index, [*always, "token"], right_id, min(cap, take))
     asked = left.select(left_id, *always, F.explode(F.array_distinct(left_tokens)).alias("token")).where(F.length("token") >= shortest)
-    met = asked.join(index, [*always, "token"])
-    return capped(met, [left_id, "token"], right_id, take).select(left_id, right_id).distinct()
+    return asked.join(index, [*always, "token"]).select(left_id, right_id).distinct()
 
 
 def multi_keys(country: Column, name_tokens: Column, address_tokens: Column, numbers: Column) -> Column:
@@ -84,6 +87,26 @@ def fuse(channels: list[tuple[DataFrame, float | None]], left_id: str = "s1_id",
     return out.groupBy(left_id, right_id).agg(F.max("score").alias("score"), F.count_distinct("channel").alias("votes"))
 
 
-def or_else(df: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A pluggable step: ``build`` applied to the candidates."""
-    return df.transform(build)
+def pruned(candidates: DataFrame, score: Callable[[DataFrame], DataFrame], keep: int, likely: float, left_id: str = "s1_id", right_id: str = "target_id") -> DataFrame:
+    """Candidates that a pluggable pre-ranker (candidates to the same with ``prob``) ranks among the first ``keep`` or thinks ``likely``."""
+    x = score(candidates).withColumn("prob", F.round("prob", 9))
+    w = Window.partitionBy(left_id).orderBy(F.desc("prob"), right_id)
+    return x.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= keep) | (F.col("prob") >= likely))
+
+
+def in_parts(queries: DataFrame, rows: int, by: str = "s1_id") -> DataFrame:
+    """Queries dealt into partitions of about ``rows``, so that a task's share of a retrieval is bounded."""
+    return queries.repartition(max(1, -(-queries.count() // rows)), by)
+
+
+def budgeted_join(left: DataFrame, right: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """The equi join, with every key's pairs dealt over tasks of about ``budget`` pairs.
+
+    Postings of a key with more pairs than the budget are salted: its right rows
+    are dealt by a hash, its left rows go to every salt.
+    """
+    size = left.groupBy(*keys).agg(F.count("*").alias("__l")).join(right.groupBy(*keys).agg(F.count("*").alias("__r")), keys)
+    size = size.select(*keys, F.ceil(F.col("__l") * F.col("__r") / F.lit(float(budget))).cast("long").alias("__salts"))
+    every = left.join(size, keys).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)))
+    dealt = right.join(size, keys).withColumn("__salt", F.pmod(F.xxhash64(*[c for c in right.columns if c not in keys]), F.col("__salts")))
+    return every.drop("__salts").join(dealt.drop("__salts"), [*keys, "__salt"]).drop("__salt")

@@ -59,6 +59,15 @@ def expected_f_legacy(df: DataFrame) -> DataFrame:
     return x.withColumn("__best", best).where(F.col("__k") <= F.col("__best")).drop("__k", "__f", "__best")
 
 
+def dynamic_expected_f(df: DataFrame, most: int = 8, each: int = 5) -> DataFrame:
+    """The prefix of up to ``most`` rows with the largest expected F0.5, misses left out; then ``each`` per source."""
+    x = df.withColumn("__k", F.row_number().over(by_prob())).where(F.col("__k") <= most)
+    total = F.sum("prob").over(by_prob().rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("__f", F.round(1.25 * total / (F.col("__k") + 0.25 * F.greatest(total, F.lit(1e-4))), 12))
+    best = F.max(F.struct("__f", (-F.col("__k")).alias("__k"))).over(group())["__k"]
+    return capped_by_source(x.withColumn("__best", -best).where(F.col("__k") <= F.col("__best")).drop("__k", "__f", "__best"), each, None)
+
+
 def expected_f_select(df: DataFrame, miss: float = 0.0, power: float = 1.0) -> DataFrame:
     """The prefix of largest expected F0.5 with the expected number of true matches held fixed.
 
@@ -125,9 +134,10 @@ def missing_address_rule(df: DataFrame, flat: float = 0.70, relaxed: float = 0.5
     return df.where((F.col("prob") >= flat) | (F.col("addr_missing") & (F.col("prob") >= relaxed) & (F.col("name_sim") >= name) & (F.col("score") >= score)))
 
 
-def plaza_filter(df: DataFrame, least: float = 0.45) -> DataFrame:
-    """Drops pairs of Latin names that share no word and look different."""
-    bad = (F.col("name_a") != "") & (F.col("name_b") != "") & (F.size(F.array_intersect(F.split("name_a", " "), F.split("name_b", " "))) == 0) & (F.col("name_sim") < least)
+def plaza_filter(df: DataFrame, least: float = 0.45, shortest: int = 3) -> DataFrame:
+    """Drops pairs of Latin names of ``shortest`` characters or more that share no word and look different."""
+    latin = lambda c: F.col(c).rlike("^[\\x00-\\x7F]*$") & (F.length(c) >= shortest)
+    bad = latin("name_a") & latin("name_b") & (F.size(F.array_intersect(F.split("name_a", " "), F.split("name_b", " "))) == 0) & (F.col("name_sim") < least)
     return df.where(~bad)
 
 

@@ -86,6 +86,20 @@ def separation(df: DataFrame, score: str, label: str) -> DataFrame:
     return x.agg(F.round(auc, 9).alias("auc"), F.round(ks, 9).alias("ks"))
 
 
+def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
+    """One row: PR-AUC as average precision, over distinct scores from the largest."""
+    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
+    tot = by.agg(F.sum("p").alias("tp"))
+    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)  # a row per distinct score
+    x = by.withColumn("cp", F.sum("p").over(w)).withColumn("cn", F.sum("n").over(w)).join(F.broadcast(tot))  # one row
+    return x.agg(F.round(F.sum(F.try_divide("p", "tp") * F.col("cp") / F.col("cn")), 9).alias("pr_auc"))
+
+
+def brier(df: DataFrame, prob: str, label: str) -> DataFrame:
+    """One row: the mean squared difference of probability and label."""
+    return df.agg(F.round(F.avg((F.col(prob) - F.col(label)) * (F.col(prob) - F.col(label))), 9).alias("brier"))
+
+
 def output_contract(s1: DataFrame, matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """(check, bad): ids missing, ids repeated, matches that are no candidates, repeated pairs; all should be 0."""
     lists = s1.select("s1_id")

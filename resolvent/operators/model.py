@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,10 +60,28 @@ def ensemble_out_of_fold(pairs: DataFrame, features: list[str], k: int = 3, weig
     return out_of_fold(x, ["blend"], logistic(), k).drop("p0", "p1", "p2")
 
 
+def fit_until_worse(pairs: DataFrame, features: list[str], trees: int = 50, tolerance: float = 0.01, held: float = 0.2, group: str = "s1_id") -> PipelineModel:
+    """Boosted trees that stop when the loss on held-out records (a hash of the record) no longer falls by ``tolerance``."""
+    x = pairs.withColumn("__held", F.pmod(F.xxhash64(group), F.lit(100)) < int(100 * held))
+    learner = gbt(trees).setValidationIndicatorCol("__held")
+    return fit(x, features, learner.copy({learner.validationTol: tolerance}))
+
+
+def model_for(spark: SparkSession, path: str, mode: str, pairs: DataFrame, features: list[str], learner) -> PipelineModel:
+    """``test`` loads the model at ``path``, ``retrain`` fits and replaces it, ``train`` fits only where none is."""
+    if mode not in ("test", "train", "retrain"):
+        raise ValueError(f"mode {mode!r}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    if mode == "test" and not there:
+        raise FileNotFoundError(path)
+    if there and mode != "retrain":
+        return PipelineModel.load(path)
+    model = fit(pairs, features, learner)
+    model.write().overwrite().save(path)
+    return model
+
+
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
-
-def band_only(df: DataFrame, low: float, high: float, scorer) -> DataFrame:
-    """Pairs with a probability in a band, rescored by an injected function of DataFrames (the place of a cross-encoder)."""
-    return scorer(df.where(F.col("prob").between(low, high)))

@@ -17,11 +17,16 @@ def term_counts(df: DataFrame, id_col: str, terms, keys: list[str]) -> DataFrame
     return df.select(id_col, *keys, F.explode(terms).alias("term")).groupBy(id_col, *keys, "term").agg(F.count("*").alias("tf"))
 
 
-def idf_table(counts: DataFrame, n_docs: DataFrame, keys: list[str], min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """(keys, term, df, idf) from target counts; ``n_docs`` is (keys, n)."""
-    df = counts.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+def idf_table(counts: DataFrame, n_docs: DataFrame, keys: list[str], min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+    """(keys, term, df, idf) from counts; ``n_docs`` is (keys, n); the vocabulary keeps the ``max_features`` most frequent terms."""
+    df = counts.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     joined = df.join(n_docs, keys) if keys else df.join(F.broadcast(n_docs))  # one row
     joined = joined.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    if max_features is not None and keys:
+        w = Window.partitionBy(*keys).orderBy(F.desc("total"), "term")
+        joined = joined.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_features)
+    elif max_features is not None:
+        joined = joined.orderBy(F.desc("total"), "term").limit(max_features)
     return joined.select(*keys, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -46,13 +51,17 @@ def cosine_top_k(queries: DataFrame, targets: DataFrame, keys: list[str], k: int
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def retrieve(queries: DataFrame, targets: DataFrame, query_terms, target_terms, keys: list[str] | None = None, k: int = 30, least: float = 0.0, min_df: int = 1, max_df: float = 1.0, top: int | None = None, left_id: str = "s1_id", right_id: str = "target_id") -> DataFrame:
-    """Index ``targets`` and retrieve for every query record."""
+def retrieve(queries: DataFrame, targets: DataFrame, query_terms, target_terms, keys: list[str] | None = None, k: int = 30, least: float = 0.0, min_df: int = 1, max_df: float = 1.0, top: int | None = None, max_features: int | None = None, joint: bool = False, left_id: str = "s1_id", right_id: str = "target_id") -> DataFrame:
+    """Index ``targets`` and retrieve for every query record; ``joint`` counts terms over both sides."""
     keys = keys or []
     tc = term_counts(targets, right_id, target_terms, keys)
     qc = term_counts(queries, left_id, query_terms, keys)
-    n = targets.groupBy(*keys).agg(F.count_distinct(right_id).alias("n")) if keys else targets.agg(F.count_distinct(right_id).alias("n"))
-    idf = idf_table(tc, n, keys, min_df, max_df)
+    seen, ids = tc, targets.select(F.col(right_id).alias("id"), *keys)
+    if joint:
+        seen = tc.select(*keys, "term", "tf").unionByName(qc.select(*keys, "term", "tf"))
+        ids = ids.unionByName(queries.select(F.col(left_id).alias("id"), *keys))
+    n = ids.groupBy(*keys).agg(F.count_distinct("id").alias("n"))
+    idf = idf_table(seen, n, keys, min_df, max_df, max_features)
     return cosine_top_k(weighted(qc, idf, left_id, keys, top), weighted(tc, idf, right_id, keys, top), keys, k, least, left_id, right_id)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import keys as Y
 from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import blocking as B
@@ -13,6 +14,7 @@ from ..operators import features as P
 from ..operators import model as M
 from ..operators import ranking as R
 from ..operators import tfidf as I
+from ..sources import io
 from . import adapters as A
 from .relational_queries import K, PAIR, key_rows, keyed, left, right
 from .text_queries import s_sorted, s_token, s_tokens
@@ -40,14 +42,14 @@ def documents(s, d):
 WORDS = lambda: F.filter(F.split("t", " "), lambda t: t != "")
 
 
-def tfidf_sql(k, min_df=1, max_df=1.0, least=0.0):
+def tfidf_sql(k, min_df=1, max_df=1.0, least=0.0, most=10**12):
     """Retrieval of passages over documents in SQL."""
     w = lambda rel, i: f"(select {i}, term, tf, idf from {rel} join idf using (term))"
     unit = lambda rel, i: f"(select {i}, term, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) over (partition by {i})) as w from {w(rel, i)})"
     return f"""with q as (select item_id as s1_id, term, count(*) as tf from (select item_id, unnest({s_tokens(s_token('text'))}) as term from benchmark) group by 1, 2),
       t as (select doc_id as target_id, term, count(*) as tf from (select doc_id, unnest({s_tokens(s_token('text'))}) as term from documents) group by 1, 2),
       n as (select count(*) as n from documents),
-      idf as (select term, ln((1 + n)::double / (1 + df)) + 1 as idf from (select term, count(*) as df from t group by 1), n where df >= {min_df} and df <= {max_df} * n),
+      idf as (select term, ln((1 + n)::double / (1 + df)) + 1 as idf from (select term, count(*) as df, sum(tf) as total from t group by 1), n where df >= {min_df} and df <= {max_df} * n order by total desc, term limit {most}),
       p as (select s1_id, target_id, round(sum(a.w * b.w), 9) as score from {unit('q', 's1_id')} a join {unit('t', 'target_id')} b using (term) group by 1, 2 having round(sum(a.w * b.w), 9) > {least}),
       r as (select *, row_number() over (partition by s1_id order by score desc, target_id) as rank from p)
       select s1_id, target_id, round(score, 6) as score, rank from r where rank <= {k}"""
@@ -58,8 +60,8 @@ def retrieved(s, d, k=30, **kw):
 
 
 _out = lambda df: df.select("s1_id", "target_id", F.round("score", 6).alias("score"), "rank")
-add("ir_01_word_tfidf_topk", lambda s, d: _out(retrieved(s, d, 10, min_df=2)), tfidf_sql(10, 2))
-add("ir_02_word_tfidf_max_df", lambda s, d: _out(retrieved(s, d, 10, min_df=3, max_df=0.25)), tfidf_sql(10, 3, 0.25))
+add("ir_01_word_tfidf_topk", lambda s, d: _out(retrieved(s, d, 10, min_df=2, max_features=120_000)), tfidf_sql(10, 2, most=120_000))
+add("ir_02_word_tfidf_max_df", lambda s, d: _out(retrieved(s, d, 10, min_df=3, max_df=0.25, max_features=80_000)), tfidf_sql(10, 3, 0.25, most=80_000))
 add("ir_07_least_similarity", lambda s, d: _out(retrieved(s, d, 10, least=0.2)), tfidf_sql(10, least=0.2))
 
 
@@ -68,15 +70,37 @@ def names_of(s, d, spec, id_name):
 
 
 GRAMS = lambda c, lo=3, hi=4: X.padded_grams(F.col(c), lo, hi)
-add("ir_03_char_tfidf_address", lambda s, d: I.retrieve(names_of(s, d, A.S1, "s1_id"), names_of(s, d, A.S2, "target_id"), GRAMS("a"), GRAMS("a"), ["country"], k=5, max_df=0.25))
-add("ir_05_pruned_vectors", lambda s, d: I.retrieve(names_of(s, d, A.S1, "s1_id"), names_of(s, d, A.S2, "target_id"), GRAMS("a"), GRAMS("a"), ["country"], k=5, max_df=0.1, top=16))
+add("ir_03_char_tfidf_address", lambda s, d: _out(I.retrieve(names_of(s, d, A.S1, "s1_id"), names_of(s, d, A.S2, "target_id"), GRAMS("a"), GRAMS("a"), ["country"], k=5, max_df=0.25)))
+add("ir_05_pruned_vectors", lambda s, d: _out(I.retrieve(names_of(s, d, A.S1, "s1_id"), names_of(s, d, A.S2, "target_id"), GRAMS("a"), GRAMS("a"), ["country"], k=5, max_df=0.1, top=16)))
 add("ir_08_weak_queries", lambda s, d: I.weak_queries(passages(s, d), retrieved(s, d, 10, min_df=2)), f"with f as ({tfidf_sql(10, 2)}) select item_id as s1_id from benchmark left join (select s1_id, max(score) as top, count(*) as hits from f group by 1) on s1_id = item_id where top is null or top < 0.35 or hits < 5")
 add("ir_09_recall_booster", lambda s, d: (lambda weak: I.retrieve(passages(s, d).join(weak, "s1_id", "left_semi"), documents(s, d), X.char_grams(F.col("t"), 5), X.char_grams(F.col("t"), 5), k=10, least=0.10, max_df=0.05))(I.weak_queries(passages(s, d), retrieved(s, d, 10, min_df=2))))
 add("ir_10_score_fusion", lambda s, d: B.fuse([(B.exact_block(left(s, d), right(s, d), ["country", "name"]), 1.0), (B.exact_block(left(s, d), right(s, d), ["country", "addr"], shortest=6), 0.95), (B.exact_block(left(s, d), right(s, d), ["country", "postal", "house"]), 0.5)]), f"{K}, p as (select 0 as c, s1_id, target_id, 1.0 as sc from l join t on l.country = t.country and l.name = t.name where l.name <> '' union all select 1, s1_id, target_id, 0.95 from l join t on l.country = t.country and l.addr = t.addr where length(l.addr) >= 6 union all select 2, s1_id, target_id, 0.5 from l join t on l.country = t.country and l.postal = t.postal and l.house = t.house where l.house <> '') select s1_id, target_id, max(sc)::double as score, count(distinct c) as votes from p group by 1, 2")
 add("ir_11_votes_priority", lambda s, d: R.ranked(B.fuse([(B.exact_block(left(s, d), right(s, d), ["country", "name"]), 0.6), (B.exact_block(left(s, d), right(s, d), ["country", "postal", "house"]), 0.5)]).withColumn("priority", F.col("score") + 0.1 * F.least(F.lit(3), "votes")), score="priority").where("rank <= 5").select("s1_id", "target_id", "rank"), f"{K}, p as (select 0 as c, s1_id, target_id, 0.6 as sc from l join t on l.country = t.country and l.name = t.name where l.name <> '' union all select 1, s1_id, target_id, 0.5 from l join t on l.country = t.country and l.postal = t.postal and l.house = t.house where l.house <> ''), f as (select s1_id, target_id, max(sc) + 0.1 * least(3, count(distinct c)) as pr from p group by 1, 2) select s1_id, target_id, rank from (select *, row_number() over (partition by s1_id order by pr desc, target_id) as rank from f) where rank <= 5")
-add("ir_12_lexical_rerank", lambda s, d: R.ranked(S.with_metrics(pairs_of(s, d), "name_a", "name_b", ["jaro_winkler"]).withColumn("score", F.round(0.7 * F.col("jaro_winkler") + 0.3 * S.levenshtein_ratio(F.col("name_a"), F.col("name_b")) + 0.15 * (F.col("postal_a") == F.col("postal_b")).cast("int"), 9))).where("rank <= 3").select("s1_id", "target_id", "rank", "score"))
+
+
+def lexical_score(names="n_jaro_winkler", addresses="a_jaro_winkler"):
+    """Names .70 / .30, addresses .50 / .50, blended .60 / .40 where both addresses are there; bonuses up to 1 in all."""
+    name = 0.70 * F.col(names) + 0.30 * S.levenshtein_ratio(F.col("name_a"), F.col("name_b"))
+    address = 0.50 * F.col(addresses) + 0.50 * S.jaccard(X.tokens(F.col("addr_a")), X.tokens(F.col("addr_b")))
+    x = F.when((F.col("addr_a") != "") & (F.col("addr_b") != ""), 0.60 * name + 0.40 * address).otherwise(name)
+    one, plus = F.lit(1.0), lambda x, test, more: F.when(test, F.least(F.lit(1.0), x + more)).otherwise(x)
+    x = plus(x, (F.col("name_a") == F.col("name_b")) & (F.col("name_a") != ""), 0.15)
+    x = plus(x, (F.col("postal_a") == F.col("postal_b")) & (F.col("postal_a") != ""), 0.08)
+    return F.least(one, plus(x, F.col("votes") >= 3, 0.05))
+
+
+def reranked(s, d):
+    l, r = left(s, d), right(s, d)
+    found = B.fuse([(B.exact_block(l, r, ["country", "name"]), 1.0), (B.exact_block(l, r, ["country", "addr"], shortest=6), 0.95), (B.exact_block(l, r, ["country", "postal", "house"]), 0.5)])
+    x = pairs_of(s, d).join(found.select("s1_id", "target_id", "votes"), ["s1_id", "target_id"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+    x = S.with_metrics(S.with_metrics(x, "name_a", "name_b", ["jaro_winkler"], "n_"), "addr_a", "addr_b", ["jaro_winkler"], "a_")
+    return R.ranked(x.withColumn("score", F.round(lexical_score(), 6))).where("rank <= 3").select("s1_id", "target_id", "rank", "score")
+
+
+add("ir_04_joint_char_tfidf", lambda s, d: I.retrieve(names_of(s, d, A.S1, "s1_id"), names_of(s, d, A.S2, "target_id"), GRAMS("n", 3, 5), GRAMS("n", 3, 5), ["country"], k=5, max_df=0.5, max_features=300_000, joint=True).select("s1_id", "target_id", "rank"))
+add("ir_12_lexical_rerank", reranked)
 add("ir_13_rare_tokens", lambda s, d: I.retrieve(passages(s, d), documents(s, d), F.array_distinct(WORDS()), F.array_distinct(WORDS()), k=10, max_df=0.02, top=10).select("s1_id", "target_id", "rank"))
-add("ir_14_phonetic_channel", lambda s, d: I.retrieve(*[names_of(s, d, sp, i).where("country = 'INDIA'").withColumn("n", X.phonetic_skeleton(F.col("n"))) for sp, i in ((A.S1, "s1_id"), (A.S2, "target_id"))], GRAMS("n"), GRAMS("n"), ["country"], k=10, least=0.25))
+add("ir_14_phonetic_channel", lambda s, d: I.retrieve(*[names_of(s, d, sp, i).where("country = 'INDIA'").withColumn("n", Y.phonetic_clean(F.col("n"))) for sp, i in ((A.S1, "s1_id"), (A.S2, "target_id"))], GRAMS("n"), GRAMS("n"), ["country"], k=10, least=0.25))
 add("ir_15_missing_address_channel", lambda s, d: I.retrieve(names_of(s, d, A.S1, "s1_id"), names_of(s, d, A.S2, "target_id").where("a = ''"), F.split("n", " "), F.split("n", " "), ["country"], k=5, least=0.40).select("s1_id", "target_id", "rank"))
 add("ir_16_state_expanded_channel", lambda s, d: I.retrieve(*[names_of(s, d, sp, i).withColumn("f", X.states_expanded(F.concat_ws(" ", "n", "a"))) for sp, i in ((A.S1, "s1_id"), (A.S3, "target_id"))], F.split("f", " "), F.split("f", " "), ["country"], k=10, least=0.30).select("s1_id", "target_id", "rank"))
 add("ir_18_oov_share", lambda s, d: names_of(s, d, A.S3, "target_id").select("target_id", "country", F.explode(X.tokens(F.col("n"))).alias("w")).join(names_of(s, d, A.S1, "s1_id").select("country", F.explode(X.tokens(F.col("n"))).alias("w")).distinct().withColumn("known", F.lit(1)), ["country", "w"], "left").groupBy("target_id").agg(F.round(F.avg(F.col("known").isNull().cast("int")), 9).alias("oov")), f"with {A.RECORDS}, v as (select distinct upper(country) as country, unnest({s_tokens(s_token('business_name'))}) as w from s1), q as (select entity_id as target_id, upper(country) as country, unnest({s_tokens(s_token('business_name'))}) as w from s3) select target_id, round(avg((v.w is null)::int), 9) as oov from q left join v on v.country = q.country and v.w = q.w group by 1")
@@ -158,7 +182,10 @@ NUMERIC = ["name_levenshtein", "name_jaccard", "addr_levenshtein", "addr_jaccard
 
 
 def training(s, d):
-    return P.with_features(labelled(s, d), NUMERIC).select("s1_id", "target_id", "label", *NUMERIC)
+    """Labelled pairs with features, written: a learner reads them many times."""
+    x, path = P.with_features(labelled(s, d), NUMERIC).select("s1_id", "target_id", "label", *NUMERIC), io.work_path(s, "training")
+    x.write.parquet(path)
+    return s.read.schema(x.schema).parquet(path)
 
 
 add("ml_01_boosted_trees", lambda s, d: (lambda x: M.predict(M.fit(x, NUMERIC, M.gbt(8, 3)), x).select("s1_id", "target_id", "label", "prob"))(training(s, d)))

@@ -17,7 +17,7 @@ from ..operators import model as M
 from ..operators import ranking as R
 from ..sources import io
 from . import adapters as A
-from .match_queries import NUMERIC, PQ, TOK, labelled, pairs_of, training
+from .match_queries import JAC, LEV, NUMERIC, PQ, TOK, labelled, pairs_of, training
 from .relational_queries import CTX, K, PAIR, P3, REC, C, W, as_score, ids, key_rows, left, pred, right, scored, true
 from .text_queries import every, s_tokens
 
@@ -78,7 +78,18 @@ add("agg_19_micro_totals", lambda s, d: E.macro_f05(ids(s, d), pred(s, d), true(
 # Sampling: the samples are the feature ------------------------------------------
 H = lambda c, salt="7-": F.md5(F.concat(F.lit(salt), F.col(c).cast("string")))
 add("smp_02_choice", lambda s, d: T(s, d, "part").orderBy(H("p_partkey", "c-"), "p_partkey").limit(50).select("p_partkey"), "select p_partkey from part order by md5('c-' || p_partkey), p_partkey limit 50")
-add("smp_03_shuffle", lambda s, d: T(s, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(H("s_suppkey"), "s_suppkey")).alias("place")), "select s_suppkey, row_number() over (order by md5('7-' || s_suppkey), s_suppkey) as place from supplier")
+
+
+def shuffled(s, d):
+    """Places in the order of a hash: inside 4,096 ranges of it, behind the rows of the ranges before (a table of that many rows)."""
+    x = T(s, d, "supplier").select("s_suppkey", H("s_suppkey").alias("h")).withColumn("range", F.substring("h", 1, 3))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = x.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("h", "s_suppkey"))
+    return x.join(F.broadcast(ahead), "range").select("s_suppkey", (F.col("ahead") + inside).alias("place"))
+
+
+add("smp_03_shuffle", shuffled, "select s_suppkey, row_number() over (order by md5('7-' || s_suppkey), s_suppkey) as place from supplier")
 add("smp_05_group_split", lambda s, d: scored(s, d).select("s1_id", "target_id", F.when(F.conv(F.substring(H("s1_id"), 1, 8), 16, 10).cast("bigint") % 10 < 3, "test").otherwise("train").alias("part")), f"{C} select s1_id, target_id, case when ('0x' || substr(md5('7-' || s1_id), 1, 8))::bigint % 10 < 3 then 'test' else 'train' end as part from c")
 add("smp_07_held_out", lambda s, d: T(s, d, "orders").select("o_orderkey", (F.conv(F.substring(H("o_orderkey", "h-"), 1, 8), 16, 10).cast("bigint") % 100 < 15).alias("held_out")), "select o_orderkey, ('0x' || substr(md5('h-' || o_orderkey), 1, 8))::bigint % 100 < 15 as held_out from orders")
 
@@ -142,9 +153,19 @@ add("lrn_03_edit_log_odds", lambda s, d: edits(s, d).groupBy("edit").agg(F.sum("
 # Decisions and evaluation ---------------------------------------------------------
 add("dec_05_rescue", lambda s, d: D.threshold_or_best(scored(s, d).where("target_id like 'S3-%'"), 0.75, 0.70).select(*P3), f"{C} select s1_id, target_id, prob from (select *, {W} as r from c where target_id like 'S3-%') where prob >= 0.75 or (r = 1 and prob >= 0.70)")
 add("dec_06_source_caps", lambda s, d: R.capped_by_source(scored(s, d), 2, None).select(*P3), f"{C} select s1_id, target_id, prob from (select *, row_number() over (partition by s1_id, substr(target_id, 1, 2) order by prob desc, target_id) as a from c) where a <= 2")
-add("dec_12_dynamic_expected_f", lambda s, d: D.expected_f_legacy(R.ranked(scored(s, d), score="prob").where("rank <= 8").drop("rank")).select(*P3))
-add("dec_14_plaza_filter", lambda s, d: D.plaza_filter(S.with_metrics(pairs_of(s, d), "name_a", "name_b", ["jaro_winkler"]).withColumnRenamed("jaro_winkler", "name_sim")).select("s1_id", "target_id"))
-add("dec_16_missing_address", lambda s, d: D.missing_address_rule(scored(s, d).withColumns({"addr_missing": F.col("label") == 1, "name_sim": F.lit(0.9), "score": F.col("prob") + 0.1})).select(*P3), f"{C} select s1_id, target_id, prob from c where prob >= 0.70 or (label = 1 and prob >= 0.50 and prob + 0.1 >= 0.60)")
+add("dec_12_dynamic_expected_f", lambda s, d: D.dynamic_expected_f(scored(s, d)).select(*P3), f"{C}, e as (select *, {W} as k, sum(prob) over (partition by s1_id order by prob desc, target_id rows unbounded preceding) as sp from c), f as (select *, round(1.25 * sp / (k + 0.25 * greatest(sp, 1e-4)), 12) as f from e where k <= 8), b as (select s1_id, arg_max(k, (f, -k)) as bk from f group by 1), g as (select f.*, row_number() over (partition by f.s1_id, substr(target_id, 1, 2) order by prob desc, target_id) as a from f join b using (s1_id) where k <= bk) select s1_id, target_id, prob from g where a <= 5")
+add("dec_14_plaza_filter", lambda s, d: D.plaza_filter(S.with_metrics(pairs_of(s, d), "name_a", "name_b", ["jaro_winkler"]).withColumnRenamed("jaro_winkler", "name_sim")).select("s1_id", "target_id"), f"{PQ} select s1_id, target_id from p where not (regexp_full_match(na, '[\\x00-\\x7F]{{3,}}') and regexp_full_match(nb, '[\\x00-\\x7F]{{3,}}') and len(list_intersect(tna, tnb)) = 0 and jaro_winkler_similarity(na, nb) < 0.45)")
+
+
+def address_rule(s, d):
+    """The rule on the pairs' own features; the likeness of the names stands for the model's probability."""
+    x = P.with_features(pairs_of(s, d), ["name_levenshtein", "name_jaccard", "addr_missing"])
+    x = S.with_metrics(x, "name_a", "name_b", ["jaro_winkler"]).withColumnRenamed("jaro_winkler", "name_sim")
+    x = x.withColumns({"prob": F.round("name_levenshtein", 9), "score": F.round("name_jaccard", 9), "addr_missing": F.col("addr_missing") == 1})
+    return D.missing_address_rule(x).select("s1_id", "target_id", "prob")
+
+
+add("dec_16_missing_address", address_rule, f"{PQ}, f as (select s1_id, target_id, na, nb, not (aa <> '' and ab <> '') as missing, round({LEV('na', 'nb')}, 9) as prob, round({JAC('tna', 'tnb')}, 9) as score from p) select s1_id, target_id, prob from f where prob >= 0.70 or (missing and prob >= 0.50 and jaro_winkler_similarity(na, nb) >= 0.88 and score >= 0.60)")
 add("eval_09_quantile_thresholds", lambda s, d: (lambda x: E.threshold_sweep(x, x.select(F.expr("percentile(prob, array(0.25, 0.5, 0.75))").alias("q")).first()["q"]).select(F.round("threshold", 9).alias("threshold"), "n", "tp"))(scored(s, d)), f"{C}, t as (select unnest(quantile_cont(prob, [0.25, 0.5, 0.75])) as t from c) select round(t, 9) as threshold, count(*) as n, sum(label)::bigint as tp from t join c on prob >= t group by 1")
 add("eval_10_grid", lambda s, d: E.policy_grid(D.one_to_one(scored(s, d)), [0.4, 0.6, 0.8], [0.0, 0.2]))
 add("eval_13_false_negatives", lambda s, d: R.group_context(scored(s, d), score="prob").where("label = 1 and prob < 0.6").select(F.when(F.col("rank") == 1, "best but weak").when(F.col("gap") < 0.1, "close to the best").when(F.col("size") > 4, "crowded").otherwise("outranked").alias("cause")).groupBy("cause").agg(F.count("*").alias("n")), f"{CTX} select case when rank = 1 then 'best but weak' when top - prob < 0.1 then 'close to the best' when size > 4 then 'crowded' else 'outranked' end as cause, count(*) as n from y where label = 1 and prob < 0.6 group by 1")
@@ -182,8 +203,8 @@ add("ml_12_training_pairs", ml_12)
 def preranked(s, d):
     """IR-17: candidates of a wide block that a cheap model ranks among the first or thinks likely."""
     x = training(s, d)
-    scored_ = M.predict(M.fit(x, NUMERIC[:4], M.logistic()), x)
-    return R.ranked(scored_.withColumn("prob", F.round("prob", 9)), score="prob").where("rank <= 2 or prob >= 0.5").select("s1_id", "target_id", "prob", "rank")
+    model = M.fit(x, NUMERIC[:4], M.logistic())
+    return B.pruned(x, lambda c: M.predict(model, c), 2, 0.5).select("s1_id", "target_id", "prob", "rank")
 
 
 add("ir_17_preranked", preranked)

@@ -12,8 +12,12 @@ from .schema import SOURCE, TRUTH, require
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="resolvent-")
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="resolvent-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 
@@ -22,6 +26,12 @@ def scan_tsv(spark: SparkSession, path: str, schema=SOURCE) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("mode", "PERMISSIVE").csv(path)
 
 
+def scan_raw(spark: SparkSession, path: str, rows: int | None = None, schema=SOURCE) -> DataFrame:
+    """The fields as they stand (nothing is read as missing, an empty field is the empty string), the first ``rows`` only."""
+    x = spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").csv(path).na.fill("")
+    return x if rows is None else x.limit(rows)
+
+
 def scan_source(spark: SparkSession, path: str) -> DataFrame:
     """A source file with checked columns: header names trimmed, carriage returns removed, empty strings kept as such."""
     raw = spark.read.option("sep", "\t").option("header", True).option("quote", "").option("inferSchema", False).csv(path)
