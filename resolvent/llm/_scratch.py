@@ -13,8 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch between the JVM and Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between the JVM and Python; whichever is reached first ends it.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8MB"}
 _own: dict[str, str] = {}
 
 
@@ -45,14 +45,16 @@ class Scratch:
         return f"{self.root}/{self.n:03d}-{name}"
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """``df`` written and read again; meanwhile Arrow batches hold few rows, since rows may hold long texts."""
-        to, key = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, str(BATCH_ROWS))
+        """``df`` written and read again; meanwhile Arrow batches are small, since rows may hold long texts or sets."""
+        to = self.path(name)
+        before = {key: self.spark.conf.get(key) for key in BATCH}
+        for key, value in BATCH.items():
+            self.spark.conf.set(key, value)
         try:
             df.write.parquet(to)
         finally:
-            self.spark.conf.set(key, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         out = self.spark.read.schema(df.schema).parquet(to)
         self.paths[id(out)] = to
         return out
