@@ -9,6 +9,9 @@ Any order gives exact results; this one keeps inverted lists short.
   prefix; two light sets that link share one of them.
 * A heavy set is looked up in inverted lists of its prefix shingles; a pair
   with a heavy set shares enough of them for a counting bound.
+* Candidates whose marks (parities of hashed members, a few bits a member)
+  differ in more places than a link allows are dropped before whole sets are
+  sent; no linking pair is.
 * The boundary is the size up to which the subsets cost fewer rows than the
   lists, from the histogram of the sizes (up to 256, beyond which subsets never
   pay) and the mean list length.
@@ -72,11 +75,30 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-_PROFILE = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n", "d1", "d2", "token", "count")])
+def _marks(x: np.ndarray) -> bytes:
+    """Parities of the members by hash, in as many bits as the next power of two above their number (64 at least).
+
+    Marks of two sets differ in no more places than the sets have members apart.
+    """
+    size = max(64, 1 << (len(x) - 1).bit_length())
+    odd = np.bincount((V.mix(x) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Places in which marks differ, the longer ones folded to the length of the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+_PROFILE = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n", "d1", "d2", "token", "count")] + [T.StructField("marks", T.BinaryType())])
 
 
 def _profile(k: int):
-    """A row (doc_id, n, d1, d2) per document and a row (token, count) per shingle in several sets of the task."""
+    """A row (doc_id, n, d1, d2, marks) per document and a row (token, count) per shingle in several sets of the task."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -88,15 +110,17 @@ def _profile(k: int):
             u, c = u[c > 1], c[c > 1]
             none = pa.nulls(len(u), pa.int64())
             held.clear()
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(V.signed(u)), pa.array(c.astype(np.int64))], schema=schema)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(V.signed(u)), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.binary())], schema=schema)
 
-        schema = pa.schema([(n, pa.int64()) for n in _PROFILE.names])
+        schema = pa.schema([(n, pa.binary() if n == "marks" else pa.int64()) for n in _PROFILE.names])
         for batch in batches:
             n, d1, d2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            marks: list[bytes | None] = [None] * batch.num_rows
             for i, x in _shingle_sets(batch.column(1), k):
                 if x is None:
                     continue
                 n[i] = len(x)
+                marks[i] = _marks(x)
                 d1[i], d2[i] = d = _digest(x)
                 if d not in seen:
                     if len(seen) < 50_000:
@@ -107,7 +131,7 @@ def _profile(k: int):
                         yield repeated()
                         size = 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), none, none, pa.array(marks, pa.binary())], schema=schema)
         if held:
             yield repeated()
 
@@ -199,12 +223,28 @@ def _bitmap(ids: DataFrame, col: str) -> np.ndarray:
     return out
 
 
+def maybe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, a1, b, b1) whose marks (of ``sets``: id, d1, n, marks) do not already differ too much for a link; none that links is lost."""
+
+    def near(batches):
+        for batch in batches:
+            cols = (batch.column(i) for i in range(4, 8))
+            ok = []
+            for n, x, m, y in zip(*cols, strict=True):
+                n, x, y = n.as_py() + m.as_py(), *(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                ok.append(_apart(x, y) <= n - 2 * ((3 * n + 6) // 7))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
+
+    told = sets.select("id", "d1", "n", "marks")
+    both = pairs.join(told.toDF("a", "a1", "na", "ma"), ["a", "a1"]).join(told.toDF("b", "b1", "nb", "mb"), ["b", "b1"])
+    return both.select("a", "a1", "b", "b1", "na", "ma", "nb", "mb").mapInArrow(near, "a long, a1 long, b long, b1 long")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Pairs (a, a1, b, b1: document ids and digests) whose sets link, tested on the whole sets.
 
     Only documents that a bitmap of fixed size lets through send their sets.
     """
-    pairs = pairs.select("a", "a1", "b", "b1")
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(need, "id"))
     schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("members", pa.binary())])
@@ -258,7 +298,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     told = scratch.cut(docs.mapInArrow(_profile(k), _PROFILE), "profile")
-    profile = told.where("token is null").select(F.col("doc_id").alias("id"), "n", "d1", "d2")
+    profile = told.where("token is null").select(F.col("doc_id").alias("id"), "n", "d1", "d2", "marks")
     counts = told.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
     # FREQUENT rows at most: they only order the shingles.
     common = sorted((-r["count"], r["token"]) for r in counts.where("count >= 4").orderBy(F.desc("count"), "token").limit(FREQUENT).collect())
@@ -282,8 +322,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = docs.select("text").mapInArrow(rows, _ROWS)
     lists = lists.withColumn("lo", F.min(node).over(one)).withColumn("hi", F.max(node).over(one)).where("lo <> hi")
     # The vertex of a set is the smallest id of its documents.
-    sole = profile.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id")).where("id is not null")
-    live = lists.select("key", "kind", "d1", "d2", "n", "w").distinct().join(sole, ["d1", "d2"])
+    sole = profile.where("n > 0").groupBy("d1", "d2", "n", "marks").agg(F.min("id").alias("id")).where("id is not null")
+    sole = scratch.cut(sole, "sets")
+    live = lists.select("key", "kind", "d1", "d2", "n", "w").distinct().join(sole.select("id", "d1", "d2"), ["d1", "d2"])
     live = scratch.cut(live.select("key", "kind", "id", "d1", "n", "w"), "lists")
 
     # Prefix members in no other prefix only choose the middle of a star: they may stand behind the prefix of a larger set.
@@ -297,7 +338,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "d1", "n")).over(w)
     star = long_lists.withColumn("c", best).where("(c.id <> id or c.d1 <> d1) and 4 * c.n >= 3 * n and 4 * n >= 3 * c.n")
     star = star.select(F.col("c.id").alias("a"), F.col("c.d1").alias("a1"), F.col("id").alias("b"), F.col("d1").alias("b1")).distinct()
-    star = scratch.cut(star, "star")
+    star = scratch.cut(maybe(star, sole), "star")
     first = scratch.cut(verify(docs, star, k), "links")
     groups = components(spark, first, scratch).select("id", F.col("component").alias("comp"))
     groups = scratch.cut(groups, "groups")
@@ -313,14 +354,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     names = [F.col(f"{s}.{c}").alias(f"{t}{i}") for s, t in (("x", "a"), ("y", "b")) for c, i in (("id", ""), ("d1", "1"))]
     pairs = x.join(y, meet).select(*names)
-    pairs = scratch.cut(pairs.select("a", "a1", "b", "b1").distinct(), "pairs")
+    pairs = scratch.cut(maybe(pairs.distinct(), sole), "pairs")
     second = scratch.cut(verify(docs, pairs, k), "links")
     final = components(spark, first.union(second), scratch)
     final = scratch.cut(final, "components")
 
     classes = sole.join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     # Sets with many copies are answered by a broadcast; a document without words meets none.
-    full = profile.where("n > 0")
+    full = profile.where("n > 0").drop("marks")
     out = join_unique(full, classes, ["d1", "d2"], "left", frequent(full, ["d1", "d2"], scratch)).select("id", "n", "component_id")
     out = out.unionByName(profile.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

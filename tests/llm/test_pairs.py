@@ -12,7 +12,7 @@ from resolvent.llm import _vec
 from resolvent.llm._graph import components
 from resolvent.llm.embedding_dedup import learn_code, similar_vectors
 from resolvent.llm.line_dedup import _runs, dedup_lines, op7_line_dedup, shingles, signatures
-from resolvent.llm.ngram_join import _boundary, _prefix, ngram_components
+from resolvent.llm.ngram_join import _apart, _boundary, _marks, _prefix, ngram_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -98,6 +98,18 @@ def test_join_edges(spark):
     assert got == sorted([(5, 3), (5, 3), (3, 3), (None, 3), (None, None)], key=str)
 
 
+def test_marks_differ_no_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(1, 1, 1), (1, 1, 0), (63, 64, 40), (65, 64, 60), (400, 420, 390), (400, 300, 50), (5000, 3900, 3800)]:
+        all_ = rng.integers(0, 1 << 63, n + m, np.int64).view(np.uint64)
+        x, y = np.sort(all_[:n]), np.sort(np.r_[all_[:both], all_[n : n + m - both]])
+        a, b = (np.frombuffer(_marks(v), np.uint64) for v in (x, y))
+        assert _apart(a, b) == _apart(b, a) <= n + m - 2 * both
+        if both == n == m:
+            assert _apart(a, b) == 0
+    assert _apart(*(np.frombuffer(_marks(v), np.uint64) for v in (all_[:400], all_[4000:4400]))) > 800 - 2 * ((3 * 800 + 6) // 7)
+
+
 def test_prefix_and_boundary():
     for n in range(1, 60):
         assert _prefix(n) == n - math.ceil(0.75 * n) + 1
