@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch between the JVM and Python; whichever is reached first ends it.
+#: Rows may hold long texts or sets.  Set in the session where it says nothing, since results are lazy and run later.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8MB"}
 _own: dict[str, str] = {}
 
@@ -39,22 +40,18 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.n = 0
+        for key, value in BATCH.items():
+            if spark.conf.get(key, None) is None:
+                spark.conf.set(key, value)
 
     def path(self, name: str) -> str:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """``df`` written and read again; meanwhile Arrow batches are small, since rows may hold long texts or sets."""
+        """``df`` written and read again."""
         to = self.path(name)
-        before = {key: self.spark.conf.get(key) for key in BATCH}
-        for key, value in BATCH.items():
-            self.spark.conf.set(key, value)
-        try:
-            df.write.parquet(to)
-        finally:
-            for key, value in before.items():
-                self.spark.conf.set(key, value)
+        df.write.parquet(to)
         out = self.spark.read.schema(df.schema).parquet(to)
         self.paths[id(out)] = to
         return out
