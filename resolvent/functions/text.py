@@ -51,6 +51,8 @@ NAME_ALIASES = {
 # State abbreviations and names.
 STATES = {"ca": "california", "ny": "new york", "tx": "texas", "wa": "washington", "fl": "florida", "mh": "maharashtra", "ka": "karnataka", "tn": "tamil nadu", "dl": "delhi", "up": "uttar pradesh"}
 DBA = "\\b(doing business as|d\\s*/?\\s*b\\s*/?\\s*a|trading as|t\\s*/?\\s*a|c\\s*/?\\s*o|care of|aka|a\\s*/?\\s*k\\s*/?\\s*a)\\b"
+#: The same where a bare ``co`` or ``ta`` is a word.
+DBA_STRICT = "\\b(doing business as|d\\s*/?\\s*b\\s*/?\\s*a|trading as|t\\s*/\\s*a|c\\s*/\\s*o|care of|aka|a\\s*/\\s*k\\s*/\\s*a)\\b"
 DOMAIN = "(https?://)?(www\\.)?([a-zA-Z0-9\\-]+)\\.(com|org|net|in|fr|co|io|biz|info|store|shop|online)"
 STOPWORDS = ("the", "and", "of", "for", "in", "de", "la", "le")
 
@@ -164,7 +166,7 @@ def dba_and_domain(c: Column, legacy: bool = False) -> Column:
     domain = DOMAIN if legacy else DOMAIN + "\\b"
     core = F.replace(F.regexp_extract(x, "(?i)" + domain, 3), F.lit("-"), F.lit(" "))
     x = F.when(F.regexp_extract(x, "(?i)" + domain, 3) != "", F.regexp_replace(x, F.lit("(?i)" + domain), core)).otherwise(x)
-    marker = "(?i)" + (DBA if legacy else "\\b(doing business as|d\\s*/?\\s*b\\s*/?\\s*a|trading as|t\\s*/\\s*a|c\\s*/\\s*o|care of|aka|a\\s*/\\s*k\\s*/\\s*a)\\b")
+    marker = "(?i)" + (DBA if legacy else DBA_STRICT)
     parts = F.split(x, marker)
     last, first = token_normalize(F.element_at(parts, -1)), token_normalize(F.element_at(parts, 1))
     return F.when(F.size(parts) > 1, F.when(F.length(last) >= 4, last).otherwise(first)).otherwise(token_normalize(x))

@@ -1,4 +1,4 @@
-"""SQL of sound and skeleton keys, cleaners, number relations and weighted keys.
+"""SQL of sound and skeleton keys, cleaners, number relations, weighted keys and what is learned from them.
 
 DuckDB's patterns know neither back references nor looking around, so repeated
 letters and dotted abbreviations are found by position.
@@ -9,9 +9,12 @@ from __future__ import annotations
 from ..functions import keys as Y
 from ..functions import text as X
 from . import adapters as A
+from .extra_queries import ORACLES as EXTRA
+from .extra_queries import chosen, gram_sql, retrieval_sql
 from .match_queries import JAC, PQ
-from .relational_queries import K
-from .text_queries import _Q, ALL, FLAGS, ONE_WORD_ADDR, s_business, s_dba, s_sorted, s_token, s_tokens, s_words
+from .match_queries import ORACLES as MATCH
+from .relational_queries import CTX, C, K, PAIR, W
+from .text_queries import _Q, ALL, FLAGS, ONE_WORD_ADDR, s_business, s_dba, s_fold, s_legal, s_sorted, s_token, s_tokens, s_words
 
 ORACLES: dict[str, str] = {}
 
@@ -58,7 +61,11 @@ def joined(words):
 
 
 N = s_token("business_name")
+# The records' names are Latin, so romanising them is folding them.
+view("str_08_transliterate", s_fold("business_name"))
+view("str_13_legal_after_romanizing", s_legal(s_fold("business_name")))
 view("str_19_dba_and_domain", s_dba("business_name"))
+view("str_19b_dba_and_domain_strict", s_dba("business_name").replace(X.DOMAIN, X.DOMAIN + "\\b").replace(X.DBA, X.DBA_STRICT))
 view("str_31_phonetic_skeleton", joined(s_phonetic(N)))
 view("str_32_skeleton", joined(s_skeleton(s_tokens(N))))
 view("str_33_sound_set", joined(s_sounds(N)))
@@ -144,3 +151,37 @@ ORACLES["join_24_weighted_key_join"] = f"{WEIGHED} select s1_id, target_id, rank
 ORACLES["join_25_normalised_score"] = f"{WEIGHED} select s1_id, target_id, round(score, 6) as score from s where score > 0.5"
 place = lambda c: f"row_number() over (partition by s1_id order by round({c}, 9) desc, target_id)"
 ORACLES["join_26_reserved_slots"] = f"{WEIGHED} select s1_id, target_id from (select s1_id, target_id, {place('score')} as r0, {', '.join(f'{place(f"bs_{f}")} as r_{f}' for f in ('name', 'address', 'cross'))} from s) where r0 <= 15 or r_name <= 4 or r_address <= 4 or r_cross <= 4"
+ORACLES["stm_02_streamed_matching"] = f"{PAIR} l.name = t.name"
+ORACLES["ml_12_training_pairs"] = EXTRA["join_27_hard_negatives"].replace("where rn <= 5", "where rn <= 3").replace("select s1_id, target_id from m", "select s1_id, target_id, 0 as label from m") + " union all select s1_id, target_id, 1 from truth"
+CLEAN = s_once(f"[{s_replaced('n', (*Y.LONG_VOWELS, *Y.DIGRAPHS))}]", "not regexp_full_match(c, '[a-z]')") + "[1]"
+ORACLES["ir_14_phonetic_channel"] = retrieval_sql(A.RECORDS, *[chosen(rel, gram_sql(CLEAN, 3, 4), "country = 'INDIA'") for rel in ("s1", "s2")], 10, 0.25, out="s1_id, target_id, score, rank")
+
+# Learned components, features and decisions ----------------------------------------
+LABELLED = f"{PQ}, q as (select p.*, (u.s1_id is not null)::int as label from p left join truth u on u.s1_id = p.s1_id and u.target_id = p.target_id)"
+ORACLES["feat_18_phonetic_similarity"] = f"{PQ}, q as (select s1_id, target_id, {joined(s_phonetic('na'))} as sa, {joined(s_phonetic('nb'))} as sb from p) select s1_id, target_id, round(jaro_winkler_similarity(sa, sb), 9) as name_phonetic_sim from q"
+ORACLES["lrn_02_back_off"] = f"with t as ({MATCH['lrn_01_token_log_odds']}), k as (select substr(token, 1, 3) as class, avg(log_odds) as by_class from t group by 1) select token, added, round(case when pos + neg >= 20 then log_odds else by_class end, 6) as log_odds from t join k on substr(token, 1, 3) = class"
+ORACLES["lrn_04_delta_log_odds"] = (
+    ORACLES["feat_35_closest_delta"].rsplit(" select s1_id, target_id, d as delta", 1)[0]
+    + ", q as (select l.country as country_a, d as delta, (u.s1_id is not null)::int as label from m join l on l.s1_id = m.s1_id left join truth u on u.s1_id = m.s1_id and u.target_id = m.target_id where rn = 1), g as (select country_a, delta, sum(label) as pos, count(*) as n from q group by 1, 2) "
+    "select country_a, delta, n, round(case when n >= 20 then pos::double / n else sum(pos) over (partition by delta)::double / sum(n) over (partition by delta) end, 6) as rate from g"
+)
+ORACLES["lrn_06_feature_separation"] = (
+    f"{LABELLED}, g as (select s, sum(label) as p, count(*) - sum(label) as n from (select round(({JAC('tna', 'tnb')})::double, 9) as s, label from q) group by 1), "
+    "h as (select *, sum(p) over (order by s) as cp, sum(n) over (order by s) as cn, sum(p) over () as tp, sum(n) over () as tn from g) "
+    "select round((sum(p * (cn - n / 2.0)) / (any_value(tp) * any_value(tn)))::double, 9) as auc, round(max(abs(cp::double / tp - cn::double / tn)), 9) as ks from h"
+)
+ORACLES["eval_10_grid"] = (
+    f"{C}, o as (select * from (select *, row_number() over (partition by target_id order by prob desc, s1_id) as o from c) where o = 1), x as (select *, {W} as r, max(prob) over (partition by s1_id) as top from o), "
+    "y as (select *, top - coalesce(max(case when r = 2 then prob end) over (partition by s1_id), -1) as gap from x) "
+    "select threshold, margin, count(*) as n, sum(label)::bigint as tp from y, (select unnest([0.4, 0.6, 0.8]::double[]) as threshold), (select unnest([0.0, 0.2]::double[]) as margin) where prob >= threshold and gap >= margin group by 1, 2"
+)
+ORACLES["dec_07_full_engine"] = (
+    f"{CTX}, p as (select *, top - greatest(second, 0) as lead, max(case when rank = 1 then label end) over (partition by s1_id) = 1 as proof from y), "
+    "t as (select *, case when top < 0.40 then 'C' when top >= 0.82 and (lead >= 0.12 or size = 1) then 'A' when top >= 0.68 then case when proof then 'A' when lead < 0.05 and top < 0.75 then 'C' else 'B' end else 'C' end as tier from p), "
+    "v as (select *, prob >= case when starts_with(target_id, 'S3-') then 0.75 else 0.72 end as good from t where tier <> 'C'), "
+    "w as (select *, max(good::int) over (partition by s1_id) as passed from v), "
+    "e as (select s1_id, target_id, prob, least(prob, 1 - 1e-7) as q from w where good or (passed = 0 and tier = 'A' and rank = 1 and top >= 0.70)), "
+    f"f as (select *, {W} as k, sum(q) over (partition by s1_id order by prob desc, target_id rows unbounded preceding) as tp, sum(q) over (partition by s1_id) as total, exp(sum(ln(1 - q)) over (partition by s1_id)) as nothing from e), "
+    "g as (select *, round(1.25 * tp / (k + 0.25 * total), 12) as f from f), b as (select s1_id, arg_max(k, (f, -k)) as bk, max(f) as bf from g group by 1), "
+    "h as (select g.*, row_number() over (partition by s1_id, substr(target_id, 1, 2) order by prob desc, target_id) as a from g join b using (s1_id) where k <= bk and bf >= nothing) select s1_id, target_id, prob from h where a <= 5"
+)
