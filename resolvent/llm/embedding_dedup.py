@@ -100,6 +100,19 @@ def _chunk(c, t: int):
     return F.shiftrightunsigned(c, WIDTH * t).bitwiseAND(F.lit((1 << WIDTH) - 1))
 
 
+def _meetings(codes: DataFrame) -> DataFrame:
+    """(ga, ca, gb, cb, t) for every chunk ``t`` of a code that differs from another's in at most one bit.
+
+    Both sides are merged: Spark estimates them by the size of the codes' files, before a code
+    becomes 4 rows and 68, and would broadcast either.
+    """
+    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), _chunk(F.col("code"), t).alias("chunk")) for t in range(CHUNKS)])).alias("x")
+    stored = codes.select("g", "label", "dim", "code", table).select("g", "label", "dim", "code", "x.*")
+    near = F.explode(F.array(F.lit(0), *[F.lit(1 << i) for i in range(WIDTH)])).alias("flip")
+    asked = stored.select(F.col("g").alias("ga"), "label", "dim", F.col("code").alias("ca"), "t", F.col("chunk"), near).withColumn("chunk", F.col("chunk").bitwiseXOR(F.col("flip").cast("long"))).drop("flip")
+    return asked.hint("merge").join(stored.select(F.col("g").alias("gb"), "label", "dim", F.col("code").alias("cb"), "t", "chunk"), ["label", "dim", "t", "chunk"])
+
+
 def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, sample: int = SAMPLE, radius: int = RADIUS) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row of ``vectors``.
 
@@ -127,11 +140,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     model = spark.sparkContext.broadcast(learn_code(_matrix(fit.column("v").combine_chunks(), dims[0])))
     codes = scratch.cut(groups.select("g", "label", "dim", "v").mapInArrow(_encode(model), "g long, label string, dim int, code long"), "codes")
 
-    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), _chunk(F.col("code"), t).alias("chunk")) for t in range(CHUNKS)])).alias("x")
-    stored = codes.select("g", "label", "dim", "code", table).select("g", "label", "dim", "code", "x.*")
-    near = F.explode(F.array(F.lit(0), *[F.lit(1 << i) for i in range(WIDTH)])).alias("flip")
-    asked = stored.select(F.col("g").alias("ga"), "label", "dim", F.col("code").alias("ca"), "t", F.col("chunk"), near).withColumn("chunk", F.col("chunk").bitwiseXOR(F.col("flip").cast("long"))).drop("flip")
-    met = asked.join(stored.select(F.col("g").alias("gb"), "label", "dim", F.col("code").alias("cb"), "t", "chunk"), ["label", "dim", "t", "chunk"])
+    met = _meetings(codes)
     other = [(F.col("t") <= t) | (F.bit_count(_chunk(F.col("ca").bitwiseXOR(F.col("cb")), t)) > 1) for t in range(CHUNKS - 1)]
     first = other[0]
     for x in other[1:]:

@@ -10,6 +10,7 @@ import pytest
 
 from resolvent.llm import _vec
 from resolvent.llm._graph import components
+from resolvent.llm._scratch import Scratch
 from resolvent.llm.embedding_dedup import learn_code, similar_vectors
 from resolvent.llm.line_dedup import _runs, dedup_lines, op7_line_dedup, shingles, signatures
 from resolvent.llm.ngram_join import _apart, _boundary, _marks, _prefix, ngram_components
@@ -314,3 +315,18 @@ def test_embeddings_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 1, 0), (1, [1.0, 2.0], 1, 0), (2, [2.0, 4.0], 1, 0), (3, None, 1, 0)], schema)
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in similar_vectors(df).collect())
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
+def test_codes_with_their_neighbours_are_not_broadcast(spark, monkeypatch):
+    plans, cut = {}, Scratch.cut
+
+    def seen(self, df, name="t"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(self, df, name)
+
+    monkeypatch.setattr(Scratch, "cut", seen)
+    x = np.random.default_rng(3).standard_normal((50, 64))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.r_[x, x + 0.01])]
+    got = similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] % 50 for r in got)
+    assert re.search(r"SortMergeJoin \[label.*chunk", plans["links"]) and not re.search(r"BroadcastHashJoin \[label.*chunk", plans["links"])
