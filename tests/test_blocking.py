@@ -27,6 +27,15 @@ def pairs(df):
     return sorted((r["s1_id"], r["target_id"]) for r in df.collect())
 
 
+@pytest.mark.parametrize("unique", [True, False])
+def test_disjunction_gives_a_pair_once(spark, unique):
+    a, left = table(spark, 1, "s1_id", 40, unique)
+    b, right = table(spark, 2, "target_id", 60, unique)
+    got = B.disjunctive_block(left, right, ["c"], ["k", "m"])
+    assert pairs(got) == sorted({(x[0], y[0]) for x in a for y in b if same(x[1], y[1]) and (same(x[2], y[2]) or same(x[3], y[3]))})
+    assert ("HashAggregate" in plan(got)) is not unique  # pairs are compared only where ids repeat
+
+
 def test_exploded_keys_are_not_broadcast(spark):
     rows = spark.createDataFrame([(f"t{i}", "name", i % 7) for i in range(50)], "target_id string, family string, key long")
     got = B.weighted_key_join(rows.withColumnRenamed("target_id", "s1_id"), rows, 60)
