@@ -36,6 +36,18 @@ def test_disjunction_gives_a_pair_once(spark, unique):
     assert ("HashAggregate" in plan(got)) is not unique  # pairs are compared only where ids repeat
 
 
+@pytest.mark.parametrize("unique", [True, False])
+def test_first_in_block(spark, unique):
+    a, left = table(spark, 3, "s1_id", 40, unique)
+    b, right = table(spark, 4, "target_id", 60, True)
+    got = B.first_in_block(left, right, ["c", "k"], 5)
+    want = []
+    for i in {x[0] for x in a}:
+        want += sorted((i, y[0]) for x in a if x[0] == i for y in b if same(x[1], y[1]) and same(x[2], y[2]))[:5]
+    assert pairs(got) == sorted(want)
+    assert pairs(got) == pairs(B.capped(B.exact_block(left, right, ["c", "k"]), ["s1_id"], "target_id", 5))
+
+
 def test_exploded_keys_are_not_broadcast(spark):
     rows = spark.createDataFrame([(f"t{i}", "name", i % 7) for i in range(50)], "target_id string, family string, key long")
     got = B.weighted_key_join(rows.withColumnRenamed("target_id", "s1_id"), rows, 60)
