@@ -48,6 +48,21 @@ def test_first_in_block(spark, unique):
     assert pairs(got) == pairs(B.capped(B.exact_block(left, right, ["c", "k"]), ["s1_id"], "target_id", 5))
 
 
+@pytest.mark.parametrize("budget", [1, 7, 50, 5000])
+def test_budgeted_join_sends_rows_to_few_cells(spark, budget):
+    left = spark.range(90).select(F.expr("case when id % 9 = 0 then null when id < 80 then 1 else id end").alias("k"), F.col("id").alias("a"))
+    right = spark.range(200).select(F.expr("case when id < 150 then 1 else id - 100 end").alias("k"), F.col("id").alias("b"))
+    key = lambda r: (r["k"], r["a"], r["b"])
+    got = B.budgeted_join(left, right, ["k"], budget)
+    assert sorted(map(key, got.collect())) == sorted(map(key, left.join(right, "k").collect()))
+
+
+def test_budgeted_join_cells_are_square(spark):
+    many = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    sides = [x.split("\n") for x in [B.budgeted_join(many, many.withColumnRenamed("a", "b"), ["k"], 100)._jdf.queryExecution().optimizedPlan().toString()]][0]
+    assert sum("Generate explode" in x for x in sides) == 2  # both sides are dealt, none goes to every cell
+
+
 def test_exploded_keys_are_not_broadcast(spark):
     rows = spark.createDataFrame([(f"t{i}", "name", i % 7) for i in range(50)], "target_id string, family string, key long")
     got = B.weighted_key_join(rows.withColumnRenamed("target_id", "s1_id"), rows, 60)
