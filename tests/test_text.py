@@ -1,5 +1,7 @@
 """Text functions against the vectors of FIXTURES.md."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,16 @@ def test_number_relations(spark):
 def test_edit_classes():
     for a, b, want in (("cat", "cut", "sub:a>u"), ("cat", "cats", "ins:s"), ("cats", "cat", "del:s"), ("form", "from", "swap:or"), ("a", "a", ""), ("abc", "xyz", ""), ("", "x", "ins:x")):
         assert S.edit_class(a, b) == want
+
+
+def test_grams_of_long_texts_take_linear_time(spark):
+    def want(t, n):
+        return sorted({t[i : i + n] for i in range(max(1, len(t) - n + 1))}) if t else []
+
+    texts = ["", "ab", "abcde", "né😀xyzw", "ab" * 130 + "c", "x" * 259, "xy" * 130 + "😀", *("".join(chr(97 + (i * i + k) % 23) for i in range(k)) for k in range(250, 265)), *("0123456789" * 52)[:520].split("9")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.char_grams(F.col("t"), 5).alias("g")).collect()
+    assert all(sorted(r["g"]) == want(r["t"], 5) for r in rows)
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.hex(i)), "").alias("t"))
+    began = time.time()
+    assert long.select(F.size(X.char_grams(F.col("t"), 5))).first()[0] > 10_000
+    assert time.time() - began < 10
