@@ -1,6 +1,8 @@
 """Blocking joins against plain loops: repeated ids, nulls, keys that many records share, and tables that no join may broadcast."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,36 @@ def test_exploded_keys_are_not_broadcast(spark):
     got = B.weighted_key_join(rows.withColumnRenamed("target_id", "s1_id"), rows, 60)
     assert plan(got).count("BroadcastHashJoin") == 0 and plan(got).count("SortMergeJoin") >= 5
     assert got.count() == sum(len([i for i in range(50) if i % 7 == k]) ** 2 for k in range(7))
+
+
+@pytest.mark.parametrize("most", [300_000, 1])
+def test_weighted_keys_meet_lists(spark, monkeypatch, most):
+    rng = random.Random(5)
+    fam = lambda k: ("name", "address", "cross")[k % 3]
+    draw = lambda name, n: [(None if rng.random() < 0.05 else f"{name}{rng.randrange(n):02d}", fam(k), k) for k in (min(rng.randrange(40), rng.randrange(40)) for _ in range(8 * n))]
+    a, b = draw("s", 20), draw("t", 30)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(k):
+        made.add(1)
+        return k
+
+    monkeypatch.setattr(B, "HOT_KEYS", most)
+    side = lambda rows, name: spark.createDataFrame(rows, f"{name} string, family string, key long").withColumn("key", counted.asNondeterministic()("key"))
+    got = B.weighted_key_join(side(a, "s1_id"), side(b, "target_id"), 8)
+    assert ("BroadcastHashJoin" in plan(got)) is (most > 1)  # of keys left out, after they were counted
+    c = Counter(k for _, _, k in b)
+    w = {k: math.log((len({t for t, _, _ in b}) + 1) / (n + 1)) for k, n in c.items() if n <= 8}
+    assert 1 < len(w) < len(c) - 1
+    mass = lambda rows, i: sum(w.get(k, 0) for j, _, k in rows if i == j)
+    want = {}
+    for i, f, k in a:
+        for j, _, m in b:
+            if k == m and k in w and i and j:
+                x = want.setdefault((i, j), Counter())
+                x.update({"total": w[k], "n_keys": 1, f"bs_{f}": w[k], "score": w[k] / math.sqrt((mass(a, i) + 1) * (mass(b, j) + 1))})
+    rows = {(r["s1_id"], r["target_id"]): r for r in got.collect()}
+    assert rows.keys() == want.keys()
+    assert all(rows[p][x] == pytest.approx(want[p][x]) for p in rows for x in ("total", "n_keys", "bs_name", "bs_address", "bs_cross", "score"))
+    assert made.value == len(a) + len(b)  # keys are made once a side
