@@ -1,7 +1,10 @@
 """Retrieval of short texts inside tasks gives what the join of terms gives."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +46,32 @@ def test_terms_do_not_meet_in_a_join(spark):
     assert "term" not in plan
     joined = I.retrieve(q, t, GRAMS(), GRAMS(), ["country"], k=3)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in joined  # a record becomes many terms
+
+
+@pytest.mark.parametrize(("least", "many"), [(0.3, 2000), (0.3, 20), (0.0, 20), (0.6, 20)])
+def test_bounds_leave_out_long_lists_and_no_target(monkeypatch, least, many):
+    monkeypatch.setattr(short_texts, "MANY", many)
+    rng, n = np.random.default_rng(5), 600
+    rare = lambda: rng.integers(40, n, rng.integers(0, 3))
+    vec = lambda: np.sort(np.concatenate([rng.integers(0, 4, 2), rng.integers(4, 40, 1), rare()])).astype(np.int32).tobytes()
+    side = lambda name, rows: pd.DataFrame({"key": 0, "vec": sorted({vec() for _ in range(rows)})}).assign(g=lambda x: [f"{name}{i}" for i in range(len(x))])
+    q, t = side("q", 300), side("t", 3000)
+    idf = np.concatenate([np.full(4, 1.3), np.full(36, 4.0), np.full(n - 40, 7.0)])
+
+    def dense(vecs):
+        out = np.zeros((len(vecs), n))
+        for i, v in enumerate(vecs):
+            place, tf = np.unique(np.frombuffer(v, np.int32), return_counts=True)
+            out[i, place] = (1 + np.log(tf)) * idf[place]
+        return out / np.linalg.norm(out, axis=1)[:, None]
+
+    scores = np.round(dense(q["vec"]) @ dense(t["vec"]).T, 9)
+    want = [(g, t["g"][j], scores[i, j]) for i, g in enumerate(q["g"]) for j in sorted(range(len(t)), key=lambda j: (-scores[i, j], t["g"][j]))[:7] if scores[i, j] > least]
+    got = short_texts._scorer(SimpleNamespace(value=[("", None, idf)]), 7, least)(q, t)
+    assert [x[:2] for x in got.itertuples(index=False, name=None)] == [x[:2] for x in want]
+    assert np.allclose(got["score"], [x[2] for x in want], atol=2e-9)
+    row, place, w, _ = short_texts._vectors(q["vec"], idf)
+    block = short_texts._Block(t["vec"], idf)
+    _, a, b, _ = block.needed(row, place, w, 0.3)
+    starts, ends = block.lists(place)
+    assert (b - a).sum() < (ends - starts).sum() / 3
